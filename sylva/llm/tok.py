@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
 _SPLIT = "<|startoftext|>"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _WORKER: dict[str, "WordEncoder"] = {}
