@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Like checkpoint, as compressed Parquet: for wide or large tables, read more than once."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

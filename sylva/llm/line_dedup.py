@@ -21,7 +21,7 @@ more lines through and loses none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK, components, table, written
@@ -34,21 +34,24 @@ _MASK = (1 << 31) - 1
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, line, norm): every line that is not blank, numbered from 0."""
-    norm = F.trim(F.regexp_replace("raw", BLANK, " "))
+    # most lines are normal already, and finding that out is cheaper than rebuilding them
+    norm = F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace("raw", BLANK, " "))).otherwise(F.col("raw"))
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw"))
     return rows.select("doc_id", "line", norm.alias("norm")).where("norm <> ''")
 
 
-def _half_keys(norm: Column) -> Column:
-    """Keys of the halves that a partner must share; a partner has n-1, n or n+1 words."""
-    w = F.split(norm, " ")
-    n = F.size(w)
+def _with_half_keys(lines: DataFrame) -> DataFrame:
+    """lines plus k0 .. k3: keys of the halves that a partner must share; null for short lines.
 
-    def pair(m: Column) -> list[Column]:
+    A partner has n - 1, n or n + 1 words; words are split once, in a column of their own.
+    """
+    w, n = F.col("_w"), F.col("_n")
+    keys = []
+    for m in (n, n - 1):
         p = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit(1), m, F.slice(w, n - (m - p) + 1, m - p))]
-
-    return F.when(n >= LEAST_WORDS, F.array(*pair(n), *pair(n - 1)))
+        keys += [F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit(1), m, F.slice(w, n - (m - p) + 1, m - p))]
+    rows = lines.withColumn("_w", F.split("norm", " ")).withColumn("_n", F.size("_w"))
+    return rows.withColumns({f"k{i}": F.when(n >= LEAST_WORDS, k) for i, k in enumerate(keys)}).drop("_w", "_n")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -83,20 +86,19 @@ def _within_one(a: str, b: str) -> str:
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Every line that is not blank: doc_id, line, keep_doc, keep_line (where its class is met first)."""
     occurrences = F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")
-    lines = written(split_lines(docs, key, text).select("*", *occurrences), "lines")
-    keys = lines.select("doc_id", "line", "h1", "h2", _half_keys(F.col("norm")).alias("k"))
-    distinct = keys.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(F.col("k")[i]).alias(f"k{i}") for i in range(4)])
+    lines = written(_with_half_keys(split_lines(docs, key, text)).select("*", *occurrences), "lines")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     distinct = written(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines-distinct")
     bits = repeated_bits(distinct.where("k0 is not null").select(F.explode(F.array("k0", "k1", "k2", "k3")).alias("hash")), words, "hash")
 
-    def maybe(df: DataFrame, k: list[Column]) -> DataFrame:
-        df = df.withColumn("_any", F.lit(False))
-        for c in k:
-            df = tested(df.withColumn("hash", c), bits, words, "hash").withColumn("_any", F.col("_any") | F.col("_maybe")).drop("hash", "_maybe")
+    def maybe(df: DataFrame) -> DataFrame:
+        df = df.where("k0 is not null").withColumn("_any", F.lit(False))
+        for i in range(4):
+            df = tested(df.withColumn("hash", F.col(f"k{i}")), bits, words, "hash").withColumn("_any", F.col("_any") | F.col("_maybe")).drop("hash", "_maybe")
         return df.where("_any").drop("_any")
 
-    few = maybe(distinct.where("k0 is not null"), [F.col(f"k{i}") for i in range(4)]).select("lid", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first.doc_id").alias("_d"), F.col("first.line").alias("_l"))
-    texts = maybe(lines.withColumn("k", _half_keys(F.col("norm"))).where("k is not null"), [F.col("k")[i] for i in range(4)])
+    few = maybe(distinct).select("lid", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first.doc_id").alias("_d"), F.col("first.line").alias("_l"))
+    texts = maybe(lines)
     texts = texts.join(few, (texts["h1"] == few["_h1"]) & (texts["h2"] == few["_h2"]) & texts["doc_id"].eqNullSafe(few["_d"]) & (texts["line"] == few["_l"])).select("lid", "norm").dropDuplicates(["lid"])
     texts = written(texts, "lines-candidates")
     variants = written(_variants(texts), "lines-variants")
