@@ -53,7 +53,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = tested(slim, repeated_bits(slim, words), words)
     once = rows.where("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     hits = rows.where("_maybe").select("doc_id", "text_sha256")
-    groups = hits.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below deals both sides anew and a hot group can be split
+    groups = checkpoint(hits.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     many = hits.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return once.unionByName(many)
 
