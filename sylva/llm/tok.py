@@ -15,7 +15,8 @@ import os
 import numpy as np
 
 MEMO_WORDS = 1_500_000
-_SPLIT = "<|startoftext|>"
+#: Marks that may stand between words while they are learned: the first that is one token serves.
+_MARKS = "\u2603\u00a7\u00b6\u2020\u2022\u00a9"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _WORKER: dict[str, "WordEncoder"] = {}
 
@@ -40,7 +41,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.split_id = self.tok.token_to_id(_SPLIT)
+        self.mark = next(m for m in _MARKS if len(self.tok.encode(m, add_special_tokens=False).ids) == 1)
+        self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
         self.memo: dict[bytes, bytes] = {}
         self._reset()
 
@@ -69,9 +71,10 @@ class WordEncoder:
         todo = list(plain)
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
-            ids = np.asarray(self.tok.encode(_SPLIT.join(w.decode() for w in part), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.split_id)
-            if len(at) != len(part) - 1:  # a word that itself makes the mark: encode one by one
+            joined = f" {self.mark} ".join(w.decode() for w in part)
+            ids = np.asarray(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(part) - 1:  # a word that holds the mark itself: encode one by one
                 for w in part:
                     memo[w] = self._whole(w.decode())
                 continue
