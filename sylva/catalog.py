@@ -1,10 +1,273 @@
-"""Queries of the document engine and their oracle SQL."""
+"""Queries of the document engine over the driver's tables, and their oracle SQL.
+
+Documents are rendered from relational rows, so the oracle is plain SQL over the
+original columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .operators import edit, typed
+from .operators.shred import shred
+from .plans import jsonpath
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _lines(order: list[str], text: Column) -> Column:
+    """Rendered rows of a group, in order, joined."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
+    return F.array_join(F.transform(rows, lambda x: x["_t"]), "")
+
+
+def _fmt(pattern: str, *cols: str) -> Column:
+    return F.format_string(pattern, *cols)
+
+
+def regions(spark: SparkSession, sf: str) -> DataFrame:
+    n = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = n.groupBy("r_regionkey", "r_name").agg(_lines(["n_nationkey"], _fmt("  - {key: %d, name: \"%s\"}\n", "n_nationkey", "n_name")).alias("t"))
+    return n.select(F.col("r_regionkey").alias("k"), F.concat(_fmt("name: \"%s\"\nnations:\n", "r_name"), "t").alias("t"))
+
+
+def nations(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), _fmt("# nation\nname: \"%s\" # its name\nregion: %d\ntags: [a, b, c]\n", "n_name", "n_regionkey").alias("t"))
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    i = _table(spark, sf, "lineitem")
+    row = F.format_string("  - {part: %d, line: %d, qty: %s, flag: \"%s\"}\n", F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag"))
+    i = i.groupBy("l_orderkey").agg(_lines(["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], row).alias("t"))
+    return i.select(F.col("l_orderkey").alias("k"), F.concat(F.lit("items:\n"), "t").alias("t"))
+
+
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    c = _table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("k"), F.concat(_fmt("c:\n  - {key: %d, seg: \"%s\"", "c_custkey", "c_mktsegment"), F.when(F.col("c_acctbal") > 5000, F.lit(", vip: true")).otherwise(F.lit("")), F.lit("}\n")).alias("t"))
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    p = _table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("k"), _fmt("p:\n  - brand: \"%s\"\n    type: \"%s\"\n    size: %d\n    a: %d.50\n    b: %d5e-1\n", "p_brand", "p_type", "p_size", "p_size", "p_size").alias("t"))
+
+
+_NODES: dict[tuple, DataFrame] = {}
+
+
+def _run(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """A query over a node table that is shredded once and kept: queries join it with itself."""
+    at = (spark.sparkContext.applicationId, docs.__name__, sf)
+    if at not in _NODES:
+        _NODES[at] = shred(docs(spark, sf), "k", "t").persist(StorageLevel.MEMORY_AND_DISK)
+    return jsonpath.query(_NODES[at], path)
+
+
+_ITEMS = "items AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+
+
+def _number(text: str = "text") -> Column:
+    return F.col(text).cast("bigint")
+
+
+@_query("name_selector", "SELECT event_id, '/k' AS pointer, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def name_selector(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events").where("props is not null")
+    m = jsonpath.query(shred(e, "event_id", "props"), "$.k")
+    return m.select(F.col("doc_key").alias("event_id"), "pointer", _number().alias("k"))
+
+
+@_query("wildcard", "SELECT n_regionkey AS region, '/nations/' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || '/name' AS pointer, n_name AS name FROM nation")
+def wildcard(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(regions, spark, sf, "$.nations[*].name").select(F.col("doc_key").alias("region"), "pointer", F.col("text").alias("name"))
+
+
+@_query("index_negative", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, l_partkey AS part FROM items WHERE i = n - 1")
+def index_negative(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[-1].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("slice_step", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, l_partkey AS part FROM items WHERE i % 2 = 0")
+def slice_step(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[::2].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("slice_reverse", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, n - 1 - i AS place, l_partkey AS part FROM items")
+def slice_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    m = _run(orders, spark, sf, "$.items[::-1].part")
+    w = F.expr("row_number() over (partition by doc_key order by rank) - 1")
+    return m.select(F.col("doc_key").alias("order_key"), w.cast("bigint").alias("place"), _number().alias("part"))
+
+
+@_query("union_bag", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, l_partkey AS part FROM items WHERE i = 0 UNION ALL SELECT l_orderkey, l_partkey FROM items WHERE i = 0")
+def union_bag(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[0,0].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("descendant", "SELECT r_regionkey AS region, r_name AS name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_regionkey, n_name FROM nation")
+def descendant(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(regions, spark, sf, "$..name").select(F.col("doc_key").alias("region"), F.col("text").alias("name"))
+
+
+@_query("filter_compare", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, l_partkey AS part FROM items WHERE qty > 25")
+def filter_compare(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[?@.qty > 25].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("filter_logic", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, l_partkey AS part FROM items WHERE (qty <= 10 OR qty >= 40) AND NOT (qty = 45)")
+def filter_logic(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[?(@.qty <= 10 || @.qty >= 40) && !(@.qty == 45)].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("filter_root", f"WITH {_ITEMS} SELECT a.l_orderkey AS order_key, a.l_partkey AS part FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND b.i = 0 WHERE a.qty < b.qty")
+def filter_root(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$.items[?@.qty < $.items[0].qty].part").select(F.col("doc_key").alias("order_key"), _number().alias("part"))
+
+
+@_query("filter_exists", "SELECT c_custkey AS cust FROM customer WHERE c_acctbal > 5000")
+def filter_exists(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(customers, spark, sf, "$.c[?@.vip].key").select(_number().alias("cust"))
+
+
+@_query("filter_not", "SELECT c_custkey AS cust FROM customer WHERE NOT (c_acctbal > 5000)")
+def filter_not(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(customers, spark, sf, "$.c[?!@.vip].key").select(_number().alias("cust"))
+
+
+@_query("filter_match", "SELECT p_partkey AS part, CAST(p_size AS BIGINT) AS size FROM part WHERE regexp_full_match(p_brand, 'Brand#1.')")
+def filter_match(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(parts, spark, sf, "$.p[?match(@.brand, 'Brand#1.')].size").select(F.col("doc_key").alias("part"), _number().alias("size"))
+
+
+@_query("filter_search", "SELECT p_partkey AS part, p_type AS type FROM part WHERE regexp_matches(p_type, '[AEIOU]{1}[A-Z]$')")
+def filter_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(parts, spark, sf, "$.p[?search(@.type, '[AEIOU]{1}[A-Z]$')].type").select(F.col("doc_key").alias("part"), F.col("text").alias("type"))
+
+
+@_query("fn_length", "SELECT l_orderkey AS order_key FROM lineitem GROUP BY 1 HAVING count(*) > 3")
+def fn_length(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$[?length(@) > 3]").select(F.col("doc_key").alias("order_key"))
+
+
+@_query("fn_count", f"WITH {_ITEMS} SELECT l_orderkey AS order_key FROM items WHERE qty > 25 GROUP BY 1 HAVING count(*) = 2")
+def fn_count(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$[?count(@[?@.qty > 25]) == 2]").select(F.col("doc_key").alias("order_key"))
+
+
+@_query("fn_value", f"WITH {_ITEMS} SELECT l_orderkey AS order_key FROM items WHERE n = 1 AND qty > 10")
+def fn_value(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(orders, spark, sf, "$[?value(@..qty) > 10]").select(F.col("doc_key").alias("order_key"))
+
+
+@_query("numkey_equal", "SELECT p_partkey AS part FROM part")
+def numkey_equal(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(parts, spark, sf, "$.p[?@.a == @.b]").select(F.col("doc_key").alias("part"))
+
+
+@_query("alias_occurrences", "SELECT n_nationkey AS nation, p.pointer, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('/base/name'), ('/copy/name')) AS p(pointer)")
+def alias_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    n = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    d = n.select(F.col("n_nationkey").alias("k"), _fmt("base: &r {name: \"%s\"}\ncopy: *r\n", "r_name").alias("t"))
+    return jsonpath.query(shred(d, "k", "t"), "$.*.name").select(F.col("doc_key").alias("nation"), "pointer", F.col("text").alias("name"))
+
+
+@_query("multi_doc", "SELECT n_regionkey AS region, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS doc_ix, CAST(n_nationkey AS BIGINT) AS id FROM nation")
+def multi_doc(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(_lines(["n_nationkey"], _fmt("---\nid: %d\n", "n_nationkey")).alias("t"))
+    return jsonpath.query(shred(d, "k", "t"), "$.id").select(F.col("doc_key").alias("region"), "doc_ix", _number().alias("id"))
+
+
+@_query("pointer_get", "SELECT n_nationkey AS nation, n_name AS name FROM nation")
+def pointer_get(spark: SparkSession, sf: str) -> DataFrame:
+    m = edit.pointer_get(shred(nations(spark, sf), "k", "t"), "/name")
+    return m.select(F.col("doc_key").alias("nation"), F.col("text").alias("name"))
+
+
+_HEAD, _TAIL = "'# nation' || chr(10) || ", "'region: ' || n_regionkey || chr(10) || 'tags: [a, b, c]' || chr(10)"
+_NAME = "'name: \"' || n_name || '\" # its name' || chr(10) || "
+_EDITS: dict[str, tuple[list[dict], str]] = {
+    "edit_replace": ([{"op": "replace", "path": "/region", "value": "{id: 7}"}], _HEAD + _NAME + "'region: {id: 7}' || chr(10) || 'tags: [a, b, c]' || chr(10)"),
+    "edit_add": ([{"op": "add", "path": "/tags/1", "value": "x"}, {"op": "add", "path": "/new", "value": "1"}], _HEAD + _NAME + "'region: ' || n_regionkey || chr(10) || 'tags: [a, x, b, c]' || chr(10) || 'new: 1' || chr(10)"),
+    "edit_remove": ([{"op": "remove", "path": "/tags/0"}, {"op": "remove", "path": "/name"}], _HEAD + "'region: ' || n_regionkey || chr(10) || 'tags: [b, c]' || chr(10)"),
+    "edit_rename_key": ([{"op": "rename-key", "path": "/region", "value": "true"}], _HEAD + _NAME + "'\"true\": ' || n_regionkey || chr(10) || 'tags: [a, b, c]' || chr(10)"),
+    "edit_move": ([{"op": "move", "from": "/region", "path": "/tags/-"}], _HEAD + _NAME + "'tags: [a, b, c, ' || n_regionkey || ']' || chr(10)"),
+    "edit_copy": ([{"op": "copy", "from": "/tags/2", "path": "/last"}], _HEAD + _NAME + _TAIL + " || 'last: c' || chr(10)"),
+    "edit_patch": ([{"op": "test", "path": "/tags", "value": "['a', \"b\", c]"}, {"op": "replace", "path": "/tags/1", "value": "z"}], _HEAD + _NAME + "'region: ' || n_regionkey || chr(10) || 'tags: [a, z, c]' || chr(10)"),
+    "edit_rollback": ([{"op": "remove", "path": "/name"}, {"op": "test", "path": "/region", "value": "-1"}], _HEAD + _NAME + _TAIL),
+}
+
+
+def _edit(ops: list[dict]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = nations(spark, sf).withColumn("e", edit.edited(F.col("t"), ops))
+        return d.select(F.col("k").alias("nation"), F.col("e.ok").alias("ok"), F.col("e.text").alias("text"))
+
+    return run
+
+
+for _name, (_ops, _sql) in _EDITS.items():
+    _query(_name, f"SELECT n_nationkey AS nation, {'false' if _name == 'edit_rollback' else 'true'} AS ok, {_sql} AS text FROM nation")(_edit(_ops))
+
+
+@_query("typed_read", "SELECT s_suppkey AS suppkey, s_name AS name, CAST(s_nationkey AS INT) AS nation FROM supplier")
+def typed_read(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), _fmt("suppkey: %d\nname: \"%s\"\nnation: '%d'\nextra: [1, 2]\n", "s_suppkey", "s_name", "s_nationkey").alias("t"))
+    fields = T.StructType([T.StructField("suppkey", T.LongType()), T.StructField("name", T.StringType()), T.StructField("nation", T.IntegerType())])
+    return typed.read_fields(shred(d, "k", "t"), fields).select("suppkey", "name", "nation")
+
+
+@_query("merge_keys", "SELECT c_custkey AS cust, CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE 'none' END AS seg FROM customer")
+def merge_keys(spark: SparkSession, sf: str) -> DataFrame:
+    c = _table(spark, sf, "customer")
+    d = c.select(F.col("c_custkey").alias("k"), F.concat(F.lit("base: &b {seg: none, x: 1}\nc:\n  <<: *b\n"), F.when(F.col("c_acctbal") > 5000, _fmt("  seg: \"%s\"\n", "c_mktsegment")).otherwise(F.lit(""))).alias("t"))
+    m = typed.merged_members(shred(d, "k", "t"), "/c").where("key = 'seg'")
+    return m.select(F.col("doc_key").alias("cust"), F.regexp_replace("json", '^"|"$', "").alias("seg"))
+
+
+@_query("canonical_group", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def canonical_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Grouping by canonical text: spellings of one value fall together."""
+    e = _table(spark, sf, "events").where("props is not null")
+    nodes = shred(e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.regexp_replace("props", '^\\{"k": ([0-9]+)\\}$', "k: $1.0")).alias("t")), "event_id", "t")
+    m = nodes.where("pointer = '/k'").groupBy("canon").agg(F.count("*").alias("n"))
+    return m.select(F.col("canon").cast("double").cast("bigint").alias("k"), "n")
+
+
+@_query("numeric_top", "SELECT p_partkey AS part, CAST(p_size AS BIGINT) AS size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10")
+def numeric_top(spark: SparkSession, sf: str) -> DataFrame:
+    m = _run(parts, spark, sf, "$.p[0].a")
+    return m.orderBy(F.col("num").desc(), "doc_key").limit(10).select(F.col("doc_key").alias("part"), F.col("text").cast("double").cast("bigint").alias("size"))
+
+
+@_query("extracted_join", f"WITH {_ITEMS} SELECT p_brand AS brand, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM items JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def extracted_join(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = shred(orders(spark, sf), "k", "t")
+    items = nodes.where("depth = 3 and key in ('part', 'qty')").groupBy("doc_key", "parent").agg(F.max(F.when(F.col("key") == "part", _number())).alias("part"), F.max(F.when(F.col("key") == "qty", _number())).alias("qty"))
+    p = _table(spark, sf, "part")
+    return items.join(p, F.col("part") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
+
+
+@_query("parse_errors")
+def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    return shred(d, "doc_id", "text", "PERMISSIVE").groupBy(F.col("doc_key").alias("doc_id")).agg(F.max("error").alias("error"), F.count("pre").alias("nodes"))
