@@ -54,6 +54,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; without a source (a writer had no rows) the target is an empty folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = a.getFileSystem(conf)
+    if not fs.exists(a):
+        fs.mkdirs(b)
+    elif not (fs.mkdirs(b.getParent()) and fs.rename(a, b)):
+        raise OSError(f"cannot move {source}")
+
+
 class Loop:
     """The table of an iteration, written anew at each turn; the one before it is removed.
 

@@ -74,10 +74,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             rows, cols, ids = [], [[], [], [], []], []
-            for i, t in enumerate(batch.column(1)):
-                raw = enc.ids_bytes(t.as_py()) + end
+            for i, raw in enumerate(enc.many(batch.column(1).to_pylist())):
+                raw += end
                 for k, (a, n, crc) in enumerate(split_ids(raw, capacity)):
                     rows.append(i)
                     for c, v in zip(cols, (k, a, n, crc)):

@@ -9,7 +9,7 @@ Layout below one folder (all Parquet):
 - manifest/  Merkle tree over the recipes: level, idx, hash; fan-out 1024, the
              one node of the highest level is the root
 
-A rolling hash of the last 8 ids cuts streams, so equal passages give equal
+A rolling hash of the last 4 ids cuts streams, so equal passages give equal
 chunks wherever they start.  Chunks whose hash cannot repeat (two-pass bit
 table) go straight to the store; only the others shuffle.
 """
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, drop_path, new_path, table
+from .common import drop_path, move_path, new_path, table
 from .exact_dedup import repeated_bits, tested
 from .tok import encoder
 
 END_ID = 2
-WINDOW, MEAN, LEAST, MOST = 8, 1024, 256, 8192
+WINDOW, MEAN, LEAST, MOST = 4, 1024, 256, 8192
 FAN = 1024
 
 
@@ -68,8 +68,8 @@ def encoded(docs: DataFrame, tokenizer: str | None, end_id: int, width: int, key
             for lo in range(0, batch.num_rows, 256):  # small output batches: payloads are large
                 part = batch.slice(lo, 256)
                 n, sizes, hashes, payloads = [], [], [], []
-                for t in part.column(1):
-                    ids = np.frombuffer(enc.ids_bytes(t.as_py()) + end, "<u4")
+                for raw in enc.many(part.column(1).to_pylist()):
+                    ids = np.frombuffer(raw + end, "<u4")
                     if len(ids) and int(ids.max()) >= 1 << 8 * width:
                         raise ValueError(f"an id needs more than {width} bytes")
                     at = cuts(ids)
@@ -117,11 +117,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     flat = staged.select(F.explode(F.arrays_zip("hashes", "sizes")).alias("c")).select(F.col("c.hashes").alias("hash"))
     bits = repeated_bits(flat, col="hash")
     full = staged.select(F.explode(F.arrays_zip("hashes", "sizes", "payloads")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
-    full = tested(full, bits, col="hash")
-    once = full.where("not _maybe").drop("_maybe")
-    more = full.where("_maybe").drop("_maybe").dropDuplicates(["hash"])
-    once.write.option("compression", "zstd").parquet(f"{path}/chunks/once")
-    more.write.option("compression", "zstd").parquet(f"{path}/chunks/more")
+    # one pass over the payloads: chunks that cannot repeat are at their place, the others are few
+    tested(full, bits, col="hash").write.partitionBy("_maybe").option("compression", "zstd").parquet(f"{stage}-dealt")
+    dealt = spark.read.schema("hash binary, n int, payload binary, _maybe boolean").parquet(f"{stage}-dealt")
+    dealt.where("_maybe").drop("_maybe").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks/more")
+    move_path(spark, f"{stage}-dealt/_maybe=false", f"{path}/chunks/once")
+    drop_path(spark, f"{stage}-dealt")
     recipes = staged.select("doc_id", "n_tokens", "sizes", "hashes")
     recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _tree(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
@@ -134,7 +135,7 @@ def root(nodes: DataFrame) -> str | None:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks/once").unionByName(spark.read.parquet(f"{path}/chunks/more"))
+    return spark.read.schema("hash binary, n int, payload binary").parquet(f"{path}/chunks/once", f"{path}/chunks/more")
 
 
 _POLY = 0xEDB88320

@@ -88,14 +88,23 @@ class WordEncoder:
 
     def ids_bytes(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        if "<|" in text:
-            return self._whole(text)
-        words = text.encode("utf-8", "replace").lower().split(b" ")
-        get = self.memo.get
-        found = [get(w) for w in words]
-        if None in found:
-            new = self._learn({w for w, x in zip(words, found) if x is None})
-            found = [new[w] if x is None else x for w, x in zip(words, found)]
-        return b"".join(found)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """ids_bytes of several texts; their unseen words are learned together."""
+        get, parts, missing = self.memo.get, [], set()
+        for t in texts:
+            if not t:
+                parts.append(([], []))
+            elif "<|" in t:
+                parts.append((None, [self._whole(t)]))
+            else:
+                words = t.encode("utf-8", "replace").lower().split(b" ")
+                found = [get(w) for w in words]
+                if None in found:
+                    missing.update([w for w, x in zip(words, found) if x is None])
+                    parts.append((words, found))
+                else:
+                    parts.append((None, found))
+        new = self._learn(missing) if missing else {}
+        return [b"".join([new[w] if x is None else x for w, x in zip(words, found)] if words else found) for words, found in parts]
