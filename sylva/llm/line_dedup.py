@@ -45,13 +45,14 @@ def _with_half_keys(lines: DataFrame) -> DataFrame:
 
     A partner has n - 1, n or n + 1 words; words are split once, in a column of their own.
     """
-    w, n = F.col("_w"), F.col("_n")
-    keys = []
-    for m in (n, n - 1):
-        p = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit(1), m, F.slice(w, n - (m - p) + 1, m - p))]
+    w, n, odd = F.col("_w"), F.col("_n"), F.col("_n") % 2 == 1
+    half, rest = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    # of a pair's two halves, for m = n and m = n - 1 words, one is the same: three hashes make four keys
     rows = lines.withColumn("_w", F.split("norm", " ")).withColumn("_n", F.size("_w"))
-    return rows.withColumns({f"k{i}": F.when(n >= LEAST_WORDS, k) for i, k in enumerate(keys)}).drop("_w", "_n")
+    rows = rows.withColumns({"_p": F.xxhash64(F.slice(w, F.lit(1), rest)), "_s": F.xxhash64(F.slice(w, n - half + 1, half)), "_r": F.xxhash64(F.slice(w, F.when(odd, n - half).otherwise(1), n - half))})
+    mix = lambda side, m, h: F.xxhash64(F.lit(side), m, h)
+    keys = [mix(0, n, F.when(odd, F.col("_p")).otherwise(F.col("_r"))), mix(1, n, F.when(odd, F.col("_r")).otherwise(F.col("_s"))), mix(0, n - 1, F.col("_p")), mix(1, n - 1, F.col("_s"))]
+    return rows.withColumns({f"k{i}": F.when(n >= LEAST_WORDS, k) for i, k in enumerate(keys)}).drop("_w", "_n", "_p", "_s", "_r")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
