@@ -1,23 +1,28 @@
 """Token ids of whole texts, word by word, equal to encoding the text at once.
 
-``word_bpe_49k.json`` drops white space and never lets a token span a space,
-so a text can be cut at U+0020 and each distinct word encoded once.  Words are
+``word_bpe_49k.json`` drops white space and never lets a token span it, so a
+text can be cut at white space and each distinct word encoded once.  Words are
 looked up as UTF-8 bytes with A-Z lowered (the file's normaliser lowers them
-anyway).  Texts that hold ``<|`` could contain a special token; they go to the
-tokenizer whole.  The memo is emptied when it holds MEMO_WORDS words, which
-bounds memory and changes no id.
+anyway).  A word of Latin letters, and marks after it, goes to the BPE model
+itself: its normalised form and its boundaries follow from the file's rules.
+Other words go through the whole tokenizer, and so do texts that hold ``<|``,
+which could be a special token.  The memo is emptied when it holds MEMO_WORDS
+words, which bounds memory and changes no id.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 
 MEMO_WORDS = 1_500_000
 #: Marks that may stand between words while they are learned: the first that is one token serves.
 _MARKS = "\u2603\u00a7\u00b6\u2020\u2022\u00a9"
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Letters that are one lower-cased code point each in NFC, then ASCII marks; an apostrophe can open a suffix token.
+_PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _WORKER: dict[str, "WordEncoder"] = {}
 
 
@@ -43,32 +48,46 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.mark = next(m for m in _MARKS if len(self.tok.encode(m, add_special_tokens=False).ids) == 1)
         self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
+        self.bpe = self.tok.model.tokenize
         self.memo: dict[bytes, bytes] = {}
-        self._reset()
+        # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + k for k, b in enumerate(others)}
 
-    def _reset(self) -> None:
-        self.memo.clear()
-        self.memo[b""] = b""
-        for mark in (b".", b","):
-            self.memo[mark] = self._whole(mark.decode())
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters of _PLAIN."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.bpe(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of unseen words, which also go to the memo."""
-        memo, later, plain = self.memo, [], set()
+        memo, todo = self.memo, []
         if len(memo) + len(words) > MEMO_WORDS:
-            self._reset()
+            memo.clear()
         for w in words:
-            # a closing mark after a letter or digit is a token boundary of the pre-tokenizer
-            if w[-1:] in (b".", b",") and len(w) > 1 and w[-2] in _ALNUM:
-                later.append(w)
-                if w[:-1] not in memo:
-                    plain.add(w[:-1])
-            else:
-                plain.add(w)
-        todo = list(plain)
+            m = _PLAIN(w.decode())
+            if m is None:
+                todo.append(w)
+                continue
+            stem, marks = m.groups()
+            stem = stem.lower()
+            key = stem.encode()
+            ids = memo.get(key)
+            if ids is None:
+                ids = memo[key] = self._letters(stem)
+            if marks:
+                end = marks.encode()
+                if end not in memo:
+                    memo[end] = self._whole(marks)
+                ids += memo[end]
+            memo[w] = ids
         for a in range(0, len(todo), 4096):
             part = todo[a : a + 4096]
             joined = f" {self.mark} ".join(w.decode() for w in part)
@@ -82,8 +101,6 @@ class WordEncoder:
             for w, hi in zip(part, [*at.tolist(), len(ids)]):
                 memo[w] = raw[4 * lo : 4 * hi]
                 lo = hi + 1
-        for w in later:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
         return {w: memo[w] for w in words}
 
     def ids_bytes(self, text: str | None) -> bytes:
@@ -99,7 +116,7 @@ class WordEncoder:
             elif "<|" in t:
                 parts.append((None, [self._whole(t)]))
             else:
-                words = t.encode("utf-8", "replace").lower().split(b" ")
+                words = t.encode("utf-8", "replace").lower().split()
                 found = [get(w) for w in words]
                 if None in found:
                     missing.update([w for w, x in zip(words, found) if x is None])
