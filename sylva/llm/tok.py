@@ -117,7 +117,7 @@ class WordEncoder:
                 parts.append((None, [self._whole(t)]))
             else:
                 words = t.encode("utf-8", "replace").lower().split()
-                found = [get(w) for w in words]
+                found = list(map(get, words))
                 if None in found:
                     missing.update([w for w, x in zip(words, found) if x is None])
                     parts.append((words, found))
