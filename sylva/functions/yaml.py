@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from dataclasses import dataclass, field
 
 DEPTH = 1024
 _ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "\t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", " ": " ", '"': '"', "/": "/", "\\": "\\", "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029"}
+#: What YAML 1.2.2 does not count as printable.
+_UNPRINTABLE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\x85\\xa0-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]")
 
 
 class YamlError(ValueError):
@@ -30,8 +33,11 @@ class Node:
 class Parser:
     def __init__(self, text: str):
         self.s, self.n, self.i = text, len(text), 0
+        self.head = int(text.startswith("\ufeff"))  # a byte order mark takes no column
         self.tags = {"!": "!", "!!": "tag:yaml.org,2002:"}
         self.depth = 0
+        #: of each document: directives as (name, parameters, start, end), whether --- and ... are written
+        self.frames: list[dict] = []
 
     # -- places
     def peek(self, k: int = 0) -> str:
@@ -39,13 +45,14 @@ class Parser:
         return self.s[j] if j < self.n else ""
 
     def column(self, at: int) -> int:
-        return at - (self.s.rfind("\n", 0, at) + 1)
+        line = self.s.rfind("\n", 0, at) + 1
+        return at - (line or self.head)
 
     def blank_after(self, at: int) -> bool:
         return at >= self.n or self.s[at] in " \t\n\r"
 
     def marker(self, at: int) -> bool:
-        return self.s[at : at + 3] in ("---", "...") and self.blank_after(at + 3) and (at == 0 or self.s[at - 1] == "\n")
+        return self.s[at : at + 3] in ("---", "...") and self.blank_after(at + 3) and (at == self.head or self.s[at - 1] == "\n")
 
     def fail(self, message: str, at: int | None = None):
         raise YamlError(message, self.i if at is None else at)
@@ -75,10 +82,9 @@ class Parser:
     # -- stream
     def stream(self) -> list[Node | None]:
         docs: list[Node | None] = []
-        if self.s.startswith("\ufeff"):
-            self.i = 1
+        self.i = self.head
         while True:
-            directives = False
+            directives = []
             self.tags = {"!": "!", "!!": "tag:yaml.org,2002:"}
             while True:
                 self.skip()
@@ -87,9 +93,16 @@ class Parser:
                     words = self.s[self.i : self.n if j < 0 else j].split()
                     if words[0] == "%TAG" and len(words) >= 3:
                         self.tags[words[1]] = words[2]
-                    directives = True
+                    params = next((words[:k] for k, w in enumerate(words) if w.startswith("#")), words)
+                    if words[0] == "%YAML" and any(d[0] == "YAML" for d in directives):
+                        self.fail("two YAML directives")
+                    directives.append((params[0][1:], params[1:], self.i, self.n if j < 0 else j))
                     self.i = self.n if j < 0 else j
                 elif self.marker(self.i) and self.s[self.i] == ".":
+                    if directives:
+                        self.fail("directives without a document")
+                    if self.frames:
+                        self.frames[-1]["ended"] = True
                     self.i += 3
                 else:
                     break
@@ -102,6 +115,7 @@ class Parser:
                 self.i += 3
             elif directives:
                 self.fail("expected ---")
+            self.frames.append({"directives": directives, "explicit": explicit, "ended": False})
             docs.append(self.node(0, -1, bool(explicit)))
             self.skip()
             if self.i < self.n and not self.marker(self.i):
@@ -575,6 +589,14 @@ class Parser:
 
 def parse(text: str) -> list[Node | None]:
     """Documents of a stream; an empty document is None.  Raises YamlError."""
+    return framed(text)[0]
+
+
+def framed(text: str) -> tuple[list[Node | None], list[dict]]:
+    """Documents of a stream and their frames: directives and written markers."""
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)
-    return Parser(text).stream()
+    if m := _UNPRINTABLE.search(text):
+        raise YamlError(f"character U+{ord(m[0]):04X} is not allowed", m.start())
+    p = Parser(text)
+    return p.stream(), p.frames
