@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import edit, typed
+from .functions import sql
+from .operators import bind, edit, events, targeted, typed
 from .operators.shred import shred
 from .plans import jsonpath
 
@@ -76,11 +77,15 @@ _NODES: dict[tuple, DataFrame] = {}
 
 
 def _run(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str, path: str) -> DataFrame:
-    """A query over a node table that is shredded once and kept: queries join it with itself."""
+    return jsonpath.query(_kept(docs, spark, sf), path)
+
+
+def _kept(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str) -> DataFrame:
+    """A node table that is shredded once and kept: queries join it with itself."""
     at = (spark.sparkContext.applicationId, docs.__name__, sf)
     if at not in _NODES:
         _NODES[at] = shred(docs(spark, sf), "k", "t").persist(StorageLevel.MEMORY_AND_DISK)
-    return jsonpath.query(_NODES[at], path)
+    return _NODES[at]
 
 
 _ITEMS = "items AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
@@ -271,3 +276,101 @@ def extracted_join(spark: SparkSession, sf: str) -> DataFrame:
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
     return shred(d, "doc_id", "text", "PERMISSIVE").groupBy(F.col("doc_key").alias("doc_id")).agg(F.max("error").alias("error"), F.count("pre").alias("nodes"))
+
+
+_TAGGED = "n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations with a directive, an anchor, a local tag and a comment."""
+    n = _table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("k"), _fmt("%%YAML 1.2\n---\nname: &n \"%s\" # its name\nregion: !r %d\nlike: *n\n", "n_name", "n_regionkey").alias("t"))
+
+
+@_query("event_scan", f"SELECT n_nationkey AS nation, '+STR' || chr(10) || '+DOC ---' || chr(10) || '+MAP' || chr(10) || '=VAL :name' || chr(10) || '=VAL &n \"' || n_name || chr(10) || '=VAL :region' || chr(10) || '=VAL <!r> :' || n_regionkey || chr(10) || '=VAL :like' || chr(10) || '=ALI *n' || chr(10) || '-MAP' || chr(10) || '-DOC' || chr(10) || '-STR' || chr(10) AS events FROM (SELECT {_TAGGED})")
+def event_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _texts(spark, sf).select(F.col("k").alias("nation"), sql.yaml_event_text("t").alias("events"))
+
+
+@_query("event_counts", "SELECT e.event AS event, CAST(count(*) * e.n AS BIGINT) AS n FROM nation, (VALUES ('+STR', 1), ('+DOC', 1), ('+MAP', 1), ('=VAL', 5), ('=ALI', 1), ('-MAP', 1), ('-DOC', 1), ('-STR', 1)) AS e(event, n) GROUP BY e.event, e.n")
+def event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return events.events(_texts(spark, sf), "k", "t").groupBy("event").agg(F.count("*").alias("n"))
+
+
+@_query("tokens_lossless", "SELECT n_nationkey AS nation, '%YAML 1.2' || chr(10) || '---' || chr(10) || 'name: &n \"' || n_name || '\" # its name' || chr(10) || 'region: !r ' || n_regionkey || chr(10) || 'like: *n' || chr(10) AS text FROM nation")
+def tokens_lossless(spark: SparkSession, sf: str) -> DataFrame:
+    return events.tokens_text(events.tokens(_texts(spark, sf), "k", "t")).select(F.col("doc_key").alias("nation"), "text")
+
+
+@_query("token_kinds", "SELECT n_nationkey AS nation, '# its name' AS comment, '&n' AS anchor, '!r' AS tag FROM nation")
+def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    t = events.tokens(_texts(spark, sf), "k", "t")
+    return t.groupBy(F.col("doc_key").alias("nation")).agg(*(F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in ("comment", "anchor", "tag")))
+
+
+@_query("directive_scan", "SELECT n_nationkey AS nation, 'YAML' AS name, '1.2' AS version FROM nation")
+def directive_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return events.directives(_texts(spark, sf), "k", "t").select(F.col("doc_key").alias("nation"), "name", F.col("params")[0].alias("version"))
+
+
+@_query("render_block", "SELECT s_suppkey AS suppkey, 'key: ' || s_suppkey || chr(10) || 'tags:' || chr(10) || '  - a' || chr(10) || '  - \"1\"' || chr(10) || 'at:' || chr(10) || '  nation: ' || s_nationkey || chr(10) AS text FROM supplier")
+def render_block(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.struct(F.col("s_suppkey").alias("key"), F.array(F.lit("a"), F.lit("1")).alias("tags"), F.struct(F.col("s_nationkey").alias("nation")).alias("at"))
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), sql.to_yaml(v).alias("text"))
+
+
+@_query("render_flow", "SELECT event_id, '{k: ' || json_extract_string(props, '$.k') || '}' AS text FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def render_flow(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events").where("props is not null and get_json_object(props, '$.k') is not null")
+    return e.select("event_id", sql.yaml_flow("props").alias("text"))
+
+
+@_query("remove_matches", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, CAST(count(*) FILTER (WHERE qty > 25) AS INT) AS removed, true AS ok, CAST(count(*) FILTER (WHERE qty <= 25) AS BIGINT) AS kept FROM items GROUP BY 1")
+def remove_matches(spark: SparkSession, sf: str) -> DataFrame:
+    got = targeted.edit_matches(orders(spark, sf), "k", "t", "$.items[?@.qty > 25]", "remove", nodes=_kept(orders, spark, sf))
+    return got.select(F.col("doc_key").alias("order_key"), F.col("n_targets").alias("removed"), "ok", F.size(F.from_json(F.get_json_object(sql.yaml_json("text"), "$.items"), "array<string>")).cast("bigint").alias("kept"))
+
+
+@_query("test_matches", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, count(*) AS n, bool_and(l_partkey = 7) AS equal FROM items GROUP BY 1")
+def test_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return targeted.test_matches(orders(spark, sf), "k", "t", "$.items[*].part", "7.0", _kept(orders, spark, sf)).select(F.col("doc_key").alias("order_key"), "n", "equal")
+
+
+_PART = T.StructType(
+    [
+        T.StructField("partBrand", T.StringType(), False, {"yaml": {"alias": ["brand"]}}),
+        T.StructField("size", T.IntegerType(), False),
+        T.StructField("kind", T.StructType([T.StructField("variant", T.StringType()), T.StructField("big", T.IntegerType())]), True, {"yaml": {"enum": True}}),
+        T.StructField("unit", T.StringType(), True, {"yaml": {"default": "cm"}}),
+        T.StructField("rest", T.MapType(T.StringType(), T.DoubleType()), True, {"yaml": {"rest": True}}),
+    ]
+)
+
+
+def _bound(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("p_size") > 25, _fmt("!big %d", "p_size")).otherwise(F.lit("small"))
+    p = _table(spark, sf, "part")
+    p = p.select("p_partkey", F.concat(_fmt("# part\nbrand: \"%s\"\nsize: %d # cm\nextra: %d.5\nkind: ", "p_brand", "p_size", "p_size"), kind, F.lit("\n")).alias("t"))
+    return p.withColumn("r", bind.read(F.col("t"), _PART, "kebab-case"))
+
+
+@_query("struct_read", "SELECT p_partkey AS part, p_brand AS brand, CAST(p_size AS INT) AS size, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS variant, CASE WHEN p_size > 25 THEN CAST(p_size AS INT) END AS big, 'cm' AS unit, CAST(p_size AS DOUBLE) + 0.5 AS extra FROM part")
+def struct_read(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("r.value")
+    return _bound(spark, sf).select(F.col("p_partkey").alias("part"), v["partBrand"].alias("brand"), v["size"].alias("size"), v["kind"]["variant"].alias("variant"), v["kind"]["big"].alias("big"), v["unit"].alias("unit"), v["rest"]["extra"].alias("extra"))
+
+
+_SIZE = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("seen", T.BooleanType())])
+
+
+@_query("struct_write", "SELECT p_partkey AS part, true AS ok, '# part' || chr(10) || 'brand: \"' || p_brand || '\"' || chr(10) || 'size: ' || (p_size + 1) || ' # cm' || chr(10) || 'extra: ' || p_size || '.5' || chr(10) || 'kind: ' || CASE WHEN p_size > 25 THEN '!big ' || p_size ELSE 'small' END || chr(10) || 'seen: true' || chr(10) AS text FROM part")
+def struct_write(spark: SparkSession, sf: str) -> DataFrame:
+    new = F.struct((F.col("r.value.size") + 1).alias("size"), F.lit(True).alias("seen"))
+    got = _bound(spark, sf).select("p_partkey", bind.write(F.col("t"), new, _SIZE).alias("w"))
+    return got.select(F.col("p_partkey").alias("part"), "w.ok", "w.text")
+
+
+@_query("deep_merge", "SELECT c_custkey AS cust, 'seg: ' || c_mktsegment || chr(10) || 'key: ' || c_custkey || chr(10) AS text FROM customer")
+def deep_merge(spark: SparkSession, sf: str) -> DataFrame:
+    c = _table(spark, sf, "customer").select("c_custkey", _fmt("{<<: [{key: %d}, {key: 0, seg: x}], seg: %s}", "c_custkey", "c_mktsegment").alias("t"))
+    return c.select(F.col("c_custkey").alias("cust"), sql.yaml_merge("t").alias("text"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.render import dedented
 from ..functions.scalars import resolve
 from ..functions.yaml import Node, YamlError, parse
 from .shred import _Shredder, quote
@@ -214,6 +215,14 @@ def get(text: str, pointer: str, ix: int = 0) -> str:
     return d.json(d.find(tokens(pointer)))
 
 
+def extract(text: str, pointer: str, ix: int = 0) -> str:
+    """The source of a value, its lines moved left to where it starts."""
+    d = Document(text, ix)
+    n = d.open(d.find(tokens(pointer)))
+    line = text[text.rfind("\n", 0, n.start) + 1 : n.start]
+    return dedented(text[n.start : n.end], len(line) if n.style in ("block",) else len(line) - len(line.lstrip(" ")))
+
+
 def test(text: str, pointer: str, value: str, ix: int = 0) -> bool:
     """Equal by meaning: style and mapping order do not matter."""
     d, v = Document(text, ix), Document(value if parse(value) else "null")

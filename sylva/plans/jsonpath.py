@@ -428,7 +428,7 @@ class Plan:
 
 
 def query(nodes: DataFrame, path: str) -> DataFrame:
-    """Matches of a JSONPath in every document: doc_key, doc_ix, pointer, kind, text, num, json, rank, in no order.
+    """Matches of a JSONPath in every document: doc_key, doc_ix, pointer, kind, text, num, json, canon, rank, in no order.
 
     Sort by rank within a document for the order of the nodelist.
     """
@@ -446,7 +446,7 @@ def query(nodes: DataFrame, path: str) -> DataFrame:
         cur = at.select(*_ID, F.lit(0).alias("ctx"), "pre", "subtree_end", "n_children", F.array().cast("array<int>").alias("rank"))
         segments = segments[lead:]
         if not segments:
-            return at.select(*_ID, "pointer", "kind", "text", "num", "json", F.array().cast("array<int>").alias("rank"))
+            return at.select(*_ID, "pointer", "kind", "text", "num", "json", "canon", F.array().cast("array<int>").alias("rank"))
     got = plan.run(cur, segments)
-    v = plan.nodes.select(F.col("doc_key").alias("v_key"), F.col("doc_ix").alias("v_ix"), F.col("pre").alias("v_pre"), "pointer", "kind", "text", "num", "json")
-    return got.join(v, got["doc_key"].eqNullSafe(v["v_key"]) & (got["doc_ix"] == v["v_ix"]) & (got["pre"] == v["v_pre"])).select(*_ID, "pointer", "kind", "text", "num", "json", "rank")
+    v = plan.nodes.select(F.col("doc_key").alias("v_key"), F.col("doc_ix").alias("v_ix"), F.col("pre").alias("v_pre"), "pointer", "kind", "text", "num", "json", "canon")
+    return got.join(v, got["doc_key"].eqNullSafe(v["v_key"]) & (got["doc_ix"] == v["v_ix"]) & (got["pre"] == v["v_pre"])).select(*_ID, "pointer", "kind", "text", "num", "json", "canon", "rank")
