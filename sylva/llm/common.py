@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; where none is set, a temporary one in local mode and an error elsewhere."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="sylva-")
     if not sc.getCheckpointDir():
@@ -83,6 +86,25 @@ class Loop:
         self.path = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        if self.path:
+            drop_path(self.spark, self.path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or a longer one that clashes with no column (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """docs but the rows whose key is in the one column of ids; columns of any name are safe."""
+    gone = fresh(docs.columns, "_gone")
+    ids = ids.toDF(gone)
+    return docs.join(ids, F.col(f"`{key}`").eqNullSafe(F.col(gone)), "left_anti")
+
 
 def crc_of_id(col: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text."""
@@ -99,17 +121,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014).  Every step
     is a grouped minimum with map-side combine and a join; no group is collected.
+    The minima are written first, so that the join deals both sides anew and a
+    node with very many neighbours can be split among tasks.
     """
-    loop = Loop(edges.sparkSession, "stars")
+    loop, large_loop, minima = (Loop(edges.sparkSession, f"stars-{k}") for k in ("edges", "large", "minima"))
     e = loop.turn(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
     for _ in range(max_rounds):
         # large star: link each larger neighbour to the least of the neighbourhood
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = minima.turn(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = large_loop.turn(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: link smaller neighbours and the node itself to the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = minima.turn(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = loop.turn(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -118,6 +142,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = now
     else:
         raise RuntimeError("components did not settle")
+    large_loop.close()
+    minima.close()
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def named_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component_id) of nodes (id, least: the smallest document of the node, or null) under links (a, b) of ids.
+
+    component_id is the smallest `least` reachable.  Where every node has a `least`
+    of its own, that is the node's name in the components, so nothing is grouped by
+    component; otherwise names are grouped by root and written, so that the join
+    can split a large component among tasks.
+    """
+    n, own = nodes.agg(F.count("*"), F.count_distinct("least")).first()
+    if n == own:
+        side = lambda c: nodes.select(F.col("id").alias(c), F.col("least").alias(f"_{c}"))
+        roots = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        return nodes.join(roots, nodes["least"] == roots["node"], "left").select("id", F.coalesce("root", "least").alias("component_id"))
+    roots = components(links)
+    member = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "least", "root")
+    names = checkpoint(member.where("root is not null").groupBy("root").agg(F.min("least").alias("_name")))
+    member = member.join(names, "root", "left")
+    return member.select("id", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_name")).alias("component_id"))

@@ -3,17 +3,17 @@
 Fingerprints: 64 bits over word shingles.  Two fingerprints link at DISTANCE or
 fewer differing bits; components are transitive.
 
-Copies of a fingerprint are merged first.  Candidates come from exact block
-keys: with the 64 bits cut into m blocks, two fingerprints that differ in at
-most d bits agree on some m - d blocks, so every linked pair shares one of the
-C(m, d) keys.  m follows the number of fingerprints (more blocks, longer keys),
-which changes the cost and not the result.  Inside a bucket the pivot table
-decides: Hamming distances of all members to reference fingerprints are
-computed once, a pair is discarded when any coordinate differs by more than d
-(triangle inequality), and survivors are verified on the fingerprints
-themselves.  Distances to pivots alone cannot find candidates here: unrelated
-64-bit fingerprints lie 32 +- 4 bits from any pivot, so a cell of width 2d + 1
-holds most of all rows (README).
+Copies of a fingerprint are merged first.  Distances to pivots alone cannot find
+candidates: unrelated 64-bit fingerprints lie 32 +- 4 bits from any pivot, so a
+cell of width 2d + 1 holds most of all rows (README).  Buckets therefore come from
+exact block keys: with the 64 bits cut into m blocks, two fingerprints that differ
+in at most d bits agree on some m - d blocks, so every linked pair shares one of
+the C(m, d) keys.  m follows the number of fingerprints (more blocks, longer keys),
+which changes the cost and not the result.  Inside every bucket the pivot table
+decides: Hamming distances of all members to PIVOTS reference fingerprints are
+taken once for the batch of buckets, a pair is discarded when any coordinate
+differs by more than d (triangle inequality), and survivors are verified on the
+fingerprints themselves.
 
 A bucket emits a spanning set of its links, not all pairs.  Buckets larger than
 CHUNK are cut into chunks; every pair of chunks is one group, so that no task
@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, table
+from .common import checkpoint, named_components, table, without
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PIVOTS = 16
 CHUNK = 8192
-#: Below this size Python integers beat array calls.
+#: Buckets up to this size are decided many at a time.
 SMALL = 24
+PAIRS_AT_ONCE = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", t
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def pivots(n: int = PIVOTS, seed: int = 1) -> np.ndarray:
@@ -76,18 +77,41 @@ def pivots(n: int = PIVOTS, seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def pivot_table(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints to the reference fingerprints."""
+    out = np.empty((len(x), len(refs)), np.int8)
+    for k, r in enumerate(refs):
+        out[:, k] = np.bitwise_count(x ^ r)
+    return out
+
+
+def small_links(x: np.ndarray, sizes: np.ndarray, distance: int, refs: np.ndarray) -> list[tuple[int, int]]:
+    """All links within buckets of up to SMALL members, which lie one after the other in x."""
+    table, starts, out = pivot_table(x, refs), np.r_[0, np.cumsum(sizes)[:-1]], []
+    for s in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(s, 1)
+        at = starts[sizes == s]
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step, None]
+            a, b = (part + i).ravel(), (part + j).ravel()
+            near = np.ones(len(a), bool)
+            for k in range(len(refs)):
+                near &= np.abs(table[a, k] - table[b, k]) <= distance
+            a, b = x[a[near]], x[b[near]]
+            near = np.bitwise_count(a ^ b) <= distance
+            out += list(zip(a[near].tolist(), b[near].tolist()))
+    return out
+
+
 def bucket_links(left: np.ndarray, right: np.ndarray | None, distance: int, refs: np.ndarray) -> list[tuple[int, int]]:
     """A spanning set of the links within `left`, or between `left` and `right`.
 
     Every member is compared with those of other trees only: a member joins the
     first tree that holds a neighbour, and trees that meet are merged.
     """
-    if right is None and len(left) <= SMALL:
-        xs, out = left.tolist(), []
-        return [(a, b) for a, b in itertools.combinations(xs, 2) if (a ^ b).bit_count() <= distance]
-    table = lambda x: np.bitwise_count(x[:, None] ^ refs[None, :]).astype(np.int8)
-    tl = table(left)
-    r, tr = (left, tl) if right is None else (right, table(right))
+    tl = pivot_table(left, refs)
+    r, tr = (left, tl) if right is None else (right, pivot_table(right, refs))
     root = np.arange(len(left) + (0 if right is None else len(right)))
     off = 0 if right is None else len(left)
     label_r = root[off:]
@@ -101,7 +125,7 @@ def bucket_links(left: np.ndarray, right: np.ndarray | None, distance: int, refs
         if right is None:
             near = near[near > i]
         for c in range(1, refs.shape[0], 5):  # discard by coordinate differences, a few pivots at a time
-            if len(near) < 64:
+            if not len(near):
                 break
             near = near[(np.abs(tr[near, c : c + 5] - tl[i, c : c + 5]) <= distance).all(axis=1)]
         near = near[np.bitwise_count(r[near] ^ left[i]) <= distance]
@@ -141,11 +165,14 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE, chunk: int = CHUNK)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            same = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for p, q, x, y in zip(*same, batch.column(2), batch.column(3)):
-                a = x.values.to_numpy().view(np.uint64)
-                found += bucket_links(a, None if p == q else y.values.to_numpy().view(np.uint64), distance, refs)
+            same, x, y = batch.column(0).to_numpy() == batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            sizes = np.diff(x.offsets.to_numpy())
+            small = same & (sizes <= SMALL)
+            part = x.filter(pa.array(small))
+            found = small_links(part.flatten().to_numpy().view(np.uint64), sizes[small], distance, refs)
+            for k in np.flatnonzero(~small).tolist():
+                a = x[k].values.to_numpy().view(np.uint64)
+                found += bucket_links(a, None if same[k] else y[k].values.to_numpy().view(np.uint64), distance, refs)
             e = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
 
@@ -161,11 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """
     fp = checkpoint(fingerprints(docs, shingle, key, text))
     reps = checkpoint(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(reps.select("fp"), reps.count(), distance))
-    # name a component by its smallest document
-    member = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = named_components(reps.withColumnRenamed("fp", "id"), links(reps.select("fp"), reps.count(), distance)).withColumnRenamed("id", "_fp")
     out = fp.join(named, fp["fp"] == named["_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -176,8 +199,8 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, key
     Rows of dropped ids leave by an anti join on the slim list of ids; of rows
     that repeat the id that stays, all stay, since nothing tells them apart.
     """
-    gone = near_duplicates(docs, shingle, distance, key, text).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[key].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_duplicates(docs, shingle, distance, key, text).where("doc_id is distinct from component_id").select("doc_id")
+    return without(docs, key, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

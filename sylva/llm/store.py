@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, move_path, new_path, table
-from .exact_dedup import repeated_bits, tested
+from .exact_dedup import Repeats
 from .tok import encoder
 
 END_ID = 2
@@ -115,10 +115,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     encoded(docs, tokenizer, end_id, width, key, text).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.parquet(stage)
     flat = staged.select(F.explode(F.arrays_zip("hashes", "sizes")).alias("c")).select(F.col("c.hashes").alias("hash"))
-    bits = repeated_bits(flat, col="hash")
+    repeats = Repeats(flat, col="hash")
     full = staged.select(F.explode(F.arrays_zip("hashes", "sizes", "payloads")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
     # one pass over the payloads: chunks that cannot repeat are at their place, the others are few
-    tested(full, bits, col="hash").write.partitionBy("_maybe").option("compression", "zstd").parquet(f"{stage}-dealt")
+    repeats.mark(full).write.partitionBy("_maybe").option("compression", "zstd").parquet(f"{stage}-dealt")
     dealt = spark.read.schema("hash binary, n int, payload binary, _maybe boolean").parquet(f"{stage}-dealt")
     dealt.where("_maybe").drop("_maybe").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks/more")
     move_path(spark, f"{stage}-dealt/_maybe=false", f"{path}/chunks/once")

@@ -225,11 +225,11 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("words", [line_dedup.WORDS, 4])
-def test_lines(docs, words):
+@pytest.mark.parametrize("most_keys", [line_dedup.MOST_KEYS, 4])
+def test_lines(docs, most_keys):
     rows = [tuple(r) for r in docs.collect()]
     want = brute_lines(rows)
-    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs, words=words).collect()}
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs, most_keys=most_keys).collect()}
     assert len(got) == len(rows) and sum(map(len, want.values())) > 50
     assert {i: d for i, d in got.items() if d} == {i: sorted(d) for i, d in want.items()}
 
@@ -424,8 +424,8 @@ def test_chunks_follow_content():
 
 
 # -- 9
-@pytest.mark.parametrize("words", [exact_dedup.WORDS, 2])
-def test_exact(docs, hard, empty, words):
+@pytest.mark.parametrize("words, most_rows", [(None, exact_dedup.MOST_ROWS), (2, exact_dedup.MOST_ROWS), (None, 0)])
+def test_exact(docs, hard, empty, words, most_rows):
     for d in (docs, hard):
         rows = d.collect()
         norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
@@ -433,13 +433,13 @@ def test_exact(docs, hard, empty, words):
         for r in rows:
             groups[norm(r.text)].append(r.doc_id)
         text = {r.doc_id: norm(r.text) for r in rows}
-        got = exact_dedup.assign(d, words=words).collect()
+        got = exact_dedup.assign(d, words=words, most_rows=most_rows).collect()
         assert len(got) == len(rows)
         for r in got:
             g = groups[text[r.doc_id]]
             keep = min((i for i in g if i is not None), default=None)
             assert (r.keep_id, r.group_size, r.kept) == (keep, len(g), r.doc_id == keep)
-        assert len(exact_dedup.dedup(d, words=words).collect()) == len(groups)
+        assert len(exact_dedup.dedup(d, words=words, most_rows=most_rows).collect()) == len(groups)
     assert exact_dedup.assign(empty).count() == 0 and exact_dedup.dedup(empty).count() == 0
 
 
