@@ -4,18 +4,24 @@ Tokens are summed per cell (source, lang, topic); raking scales the cells until
 their margins meet the targets, with a cell's weight never above its tokens
 (documents are sampled, not repeated).  A document stays with the probability
 weight / tokens of its cell, decided by a hash of its id.
+
+Targets are weights a value of each dimension (`targets`), or the table's own
+margins flattened.  Rounds go on until no weight moves by more than TOLERANCE;
+`margins` reports wanted and reached tokens of every value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, Loop, checkpoint, table
+from .common import BLANK, Loop, checkpoint, table, without
 
 SEED = 7
-#: Share of all tokens to keep, exponent that flattens the source and language margins, raking rounds.
-KEEP, FLATTEN, ROUNDS = 0.8, 0.85, 8
+#: Share of all tokens to keep, exponent that flattens the margins where no targets are given.
+KEEP, FLATTEN = 0.8, 0.85
+#: Raking rounds at most, and the largest relative move of a weight that ends them.
+ROUNDS, TOLERANCE = 40, 1e-3
 DIMS = ("source", "lang", "topic")
 
 
@@ -24,47 +30,97 @@ def length_topic(tokens: Column) -> Column:
     return F.when(tokens < 100, "short").when(tokens < 1000, "medium").otherwise("long")
 
 
-def default_targets(cells: DataFrame, dims: tuple[str, ...] = DIMS, keep: float = KEEP, flatten: float = FLATTEN) -> dict[str, DataFrame]:
-    """Target tokens of every value: margins raised to `flatten`, summing to `keep` of all tokens."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    out = {}
+def weighted_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, dims: tuple[str, ...] = DIMS, keep: float | None = KEEP, flatten: float = FLATTEN) -> dict[str, DataFrame]:
+    """Target tokens (value, target) of every value of every dimension.
+
+    A dimension in `targets` has the given weights, scaled to sum to 1 over the
+    values that occur (a value not named has weight 0 and leaves); the others have
+    their margins raised to `flatten`.  All sum to `keep` of all tokens; keep=None is
+    the largest share at which no value needs more tokens than it has.
+    """
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    out, most = {}, 1.0
     for d in dims:
-        m = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow("t", F.lit(flatten)))
+        m = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("t"))
+        if targets and d in targets:
+            given = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets[d].items()], "_v string, _p double")  # as many rows as the caller names
+            m = m.join(given, F.col("value") == F.col("_v"), "left").withColumn("p", F.coalesce("_p", F.lit(0.0)))
+        else:
+            m = m.withColumn("p", F.pow("t", F.lit(flatten)))
+        m = checkpoint(m.select("value", "t", "p"))
         s = m.agg(F.sum("p")).first()[0] or 1.0
-        out[d] = m.select(d, (F.col("p") * F.lit(float(keep * total / s))).alias("target"))
-    return out
+        room = m.where("p > 0").agg(F.min(F.col("t") * F.lit(float(s)) / (F.col("p") * F.lit(float(max(total, 1)))))).first()[0]
+        most = min(most, 1.0 if room is None else room)
+        out[d] = m.select("value", (F.col("p") / F.lit(float(s))).alias("share"))
+    share = most if keep is None else keep
+    return {d: m.select("value", (F.col("share") * F.lit(float(share * total))).alias("target")) for d, m in out.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (dims, tokens) plus weight.  Margins with no room left under the cells' tokens end below target."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (dims, tokens) plus weight.  Margins with no room left under the cells' tokens end below target; see `margins`."""
     loop = Loop(cells.sparkSession, "rake")
-    w = loop.turn(cells.withColumn("weight", F.col("tokens").cast("double")))
-    fixed = {d: checkpoint(t) for d, t in targets.items()}
+    w = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        w = w.join(target.select(F.col("value").alias("_v"), F.col("target").alias(f"_target_{d}")), F.col(d) == F.col("_v"), "left").drop("_v")
+    w = loop.turn(w.withColumn("_old", F.col("weight")))
     for _ in range(rounds):
-        for d, target in fixed.items():
-            m = w.groupBy(d).agg(F.sum("weight").alias("m")).join(target, d).select(F.col(d).alias("_v"), (F.col("target") / F.col("m")).alias("f"))
-            w = w.join(m, w[d] == m["_v"], "left").drop("_v").withColumn("weight", F.least(F.col("weight") * F.coalesce("f", F.lit(1.0)), F.col("tokens").cast("double"))).drop("f")
-            w = loop.turn(w)  # each step reads w twice: without this, work doubles with every step
-    return w
+        w = w.withColumn("_old", F.col("weight"))
+        for d in targets:
+            m = F.sum("weight").over(Window.partitionBy(d))
+            to = F.col("weight") * F.when(m > 0, F.col(f"_target_{d}") / m).otherwise(0.0)
+            w = w.withColumn("weight", F.least(to, F.col("tokens").cast("double")))
+        w = loop.turn(w)  # each round reads the one before it
+        moved = w.agg(F.max(F.abs(F.col("weight") - F.col("_old")) / F.greatest(F.col("_old"), F.lit(1e-9)))).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+    return w.select(*cells.columns, "weight")
+
+
+def margins(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dim, value, tokens, target, reached): what every value has, should have and has after raking."""
+    out = None
+    for d, target in targets.items():
+        m = raked.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("reached"))
+        m = m.join(target, "value").select(F.lit(d).alias("dim"), "value", "tokens", "target", "reached")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, keep: float = KEEP, flatten: float = FLATTEN, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def cells_of(docs: DataFrame, key: str, text: str, source: str, lang: str, topic: str | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dims, tokens) of every row, and the tokens of every cell."""
+    # words are one more than the gaps between them
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), BLANK, " "))
+    tokens = (F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+    named = (("source", source), ("lang", lang), *((("topic", topic),) if topic else ()))
+    slim = checkpoint(docs.select(F.col(f"`{key}`").alias("doc_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for n, c in named], tokens.alias("tokens")))
+    if topic is None:
+        slim = slim.withColumn("topic", length_topic(F.col("tokens")))
+    return slim, checkpoint(slim.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
+
+
+def mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    lang: str = "lang",
+    topic: str | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
+    keep: float | None = KEEP,
+    flatten: float = FLATTEN,
+    rounds: int = ROUNDS,
+    seed: int = SEED,
+) -> DataFrame:
     """Every document: doc_id, source, lang, topic, tokens, probability, kept.
 
+    `targets` gives weights by dimension ("source", "lang", "topic") and value.
     Tokens are white-space words; a null text has none, and a document without
     tokens counts as one, so that it follows its cell.  Null source, language or
     topic is a value of its own, shown as the empty string.  Rows that repeat an
     id share its decision.  An empty table gives no rows.
     """
-    # words are one more than the gaps between them
-    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANK, " "))
-    tokens = (F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
-    slim = docs.select(F.col(key).alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("source", source), ("lang", lang), *((("topic", topic),) if topic else ()))], tokens.alias("tokens"))
-    slim = checkpoint(slim)
-    if topic is None:
-        slim = slim.withColumn("topic", length_topic(F.col("tokens")))
-    cells = checkpoint(slim.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
-    raked = rake(cells, default_targets(cells, DIMS, keep, flatten), rounds)
+    slim, cells = cells_of(docs, key, text, source, lang, topic)
+    raked = rake(cells, weighted_targets(cells, targets, DIMS, keep, flatten), rounds)
     p = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.least(F.col("weight") / F.col("tokens"), F.lit(1.0)).alias("probability"))
     # cells are few beside documents, but not bounded: Catalyst picks the join by their size
     out = slim.join(p, [slim[d] == p[f"_{d}"] for d in DIMS]).drop(*[f"_{d}" for d in DIMS])
@@ -73,9 +129,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def sample(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """The rows of docs that the calibrated draw keeps, with their own columns."""
-    gone = mix(docs, key=key, **kw).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that the calibrated draw keeps, with their own columns, of any name.
+
+    An id that a draw in any of its rows drops goes with all of its rows.
+    """
+    return without(docs, key, mix(docs, key=key, **kw).where("not kept").select("doc_id").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

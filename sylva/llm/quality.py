@@ -178,7 +178,14 @@ def scored(docs: DataFrame, model: RuleModel, text: str = "text", into: str = "s
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row: doc_id, held_out, score, predicted.  A null id counts as not held out."""
+    """Every row: doc_id, held_out, score, predicted.
+
+    A null id counts as not held out.  Null, empty and blank texts have all statistics
+    zero and the score the model gives these; whole texts are read, however long.  A
+    document that is labelled twice, or occurs twice, is learned twice.  Equal texts
+    score alike.  Without usable labels every score is 0.5; an empty table gives no
+    rows; other columns are not read.
+    """
     model = train(docs, labels, key, text)
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out = scored(slim, model).withColumn("held_out", F.coalesce(crc_of_id() % 3 == PROTECTED, F.lit(False)))
@@ -186,7 +193,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def accept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs predicted good, with their own columns."""
+    """The rows of docs predicted good, with their own columns, of any name.
+
+    Without usable labels there is nothing to reject by, so every row stays (score 0.5).
+    """
     columns = docs.columns
     name = "_score"
     while name in columns:

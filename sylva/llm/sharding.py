@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 SEED = 20240607
 SHARDS = 40
@@ -74,14 +74,24 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "doc_id", **kw) -> None:
-    """Write whole documents as one folder per shard (shard=0/ ...), in slot order within files.
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "doc_id", text: str = "text", **kw) -> str:
+    """Write whole documents as one folder per shard, in slot order within files; returns the name of the folder column.
 
-    Needs unique keys (each row finds its place by key).
+    The column is `shard`, or a longer name where docs has one of that name.  A null
+    key is a key; rows that repeat key and text take its places one each; an empty
+    table writes no shard.
     """
-    place = assign_shards(docs, shards, key=key, **kw).select(F.col("doc_id").alias("_k"), F.col("shard").alias("shard"), "slot")
-    out = docs.join(place, docs[key] == place["_k"]).drop("_k")
-    out.repartition("shard", F.floor(F.col("slot") / ROWS_PER_SLICE)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    col = fresh(docs.columns, "shard")
+    place = assign_shards(docs, shards, key=key, text=text, **kw).select(F.col("doc_id").alias("_k"), F.col("text_crc32").alias("_c"), F.col("size").alias("_z"), F.col("shard").alias("_s"), F.col("slot").alias("_t"))
+    turn = lambda k, c, z: F.row_number().over(Window.partitionBy(k, c, z).orderBy(F.lit(0)))
+    place = place.withColumn("_n", turn("_k", "_c", "_z"))
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("k"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("c"), (F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 16).alias("z"))
+    rows = rows.withColumn("n", turn("k", "c", "z"))
+    out = rows.join(place, F.col("k").eqNullSafe(F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("z") == F.col("_z")) & (F.col("n") == F.col("_n")))
+    out = out.repartition("_s", F.floor(F.col("_t") / ROWS_PER_SLICE)).sortWithinPartitions("_s", "_t")
+    out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("_s").alias(col)).write.partitionBy(col).parquet(path)
+    return col
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

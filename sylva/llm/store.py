@@ -84,21 +84,27 @@ def encoded(docs: DataFrame, tokenizer: str | None, end_id: int, width: int, key
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, sizes array<int>, hashes array<binary>, payloads array<binary>")
 
 
-def _tree(recipes: DataFrame) -> DataFrame:
-    """Merkle nodes (level, idx, hash) over recipes in file order."""
-    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), F.concat_ws(",", F.transform("hashes", F.hex))), 256)
+def _tree(recipes: DataFrame, upper: bool = True, lowest: DataFrame | None = None) -> DataFrame:
+    """Merkle nodes (level, part, idx, hash) over recipes in file order.  A leaf holds id, tokens, sizes and hashes.
+
+    upper=False: level 1 alone, which is one node for FAN documents; with `lowest`,
+    a written level 1, only the levels above it are made.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), F.concat_ws(",", F.transform(F.arrays_zip("sizes", "hashes"), lambda c: F.concat(c["sizes"].cast("string"), F.lit(":"), F.hex(c["hashes"]))))), 256)
     rows = recipes.select(F.shiftright("row", 33).alias("part"), "row", leaf.alias("hash"))
     node = rows.select(F.lit(0).alias("level"), "part", (F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("idx"), "hash")
     up = lambda d, k: d.groupBy("part", F.expr(f"idx div {FAN}").alias("idx")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), "hash"))), lambda x: x["hash"])), 256).alias("hash")).select(F.lit(k).alias("level"), "part", "idx", "hash")
     one = up(node, 1)
-    two = up(one, 2)  # one node a part up to 2^20 documents; then the parts themselves are nodes
+    if not upper:
+        return one.select("level", F.col("part").cast("long").alias("part"), F.col("idx").cast("long").alias("idx"), "hash")
+    two = up(one if lowest is None else lowest, 2)  # one node a part up to 2^20 documents; then the parts themselves are nodes
     three = two.groupBy("part").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])), 256).alias("hash"))
     three = three.select(F.lit(3).alias("level"), F.lit(-1).cast("long").alias("part"), F.col("part").cast("long").alias("idx"), "hash")
     four, five = up(three, 4), None
     five = four.groupBy().agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])), 256).alias("hash")).select(F.lit(5).alias("level"), F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("idx"), "hash")
     c = ["level", "part", "idx", "hash"]
-    out = one.select(*c)
-    for x in (two, three, four, five):
+    out = (one if lowest is None else two).select(*c)
+    for x in (two, three, four, five)[lowest is not None :]:
         out = out.unionByName(x.select(*c))
     return out.select("level", F.col("part").cast("long").alias("part"), F.col("idx").cast("long").alias("idx"), "hash")
 
@@ -125,7 +131,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     drop_path(spark, f"{stage}-dealt")
     recipes = staged.select("doc_id", "n_tokens", "sizes", "hashes")
     recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _tree(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
+    # every level is reduced by itself, so no task gathers the leaves
+    recipes = spark.read.parquet(f"{path}/recipes")
+    _tree(recipes, upper=False).write.parquet(f"{path}/manifest/low")
+    _tree(recipes, lowest=spark.read.parquet(f"{path}/manifest/low")).write.parquet(f"{path}/manifest/high")
     drop_path(spark, stage)
 
 
@@ -134,6 +143,10 @@ def root(nodes: DataFrame) -> str | None:
     return got[0] if got else None
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("level int, part long, idx long, hash string").parquet(f"{path}/manifest/low", f"{path}/manifest/high")
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("hash binary, n int, payload binary").parquet(f"{path}/chunks/once", f"{path}/chunks/more")
 
@@ -180,7 +193,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     is computed again from the recipes; either mismatch raises.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
-    if root(_tree(recipes)) != root(spark.read.parquet(f"{path}/manifest")):
+    if root(_tree(recipes)) != root(manifest(spark, path)):
         raise ValueError("the recipes differ from the manifest")
     kind = f"<u{width}"
 

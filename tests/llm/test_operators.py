@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sylva.llm import ann, class_lm, exact_dedup, line_dedup, mixing, packing, quality, sharding, simhash, store, tok
+from sylva.llm import ann, class_lm, exact_dedup, jaccard, line_dedup, mixing, packing, quality, sharding, simhash, store, tok
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -134,6 +135,15 @@ def test_shards(docs, hard, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_written_shards(spark, hard, tmp_path):
+    d = hard.withColumn("shard", F.lit("own")).withColumn("slot", F.lit(1)).unionByName(hard.where("doc_id is null").withColumn("shard", F.lit("own")).withColumn("slot", F.lit(2)))
+    col = sharding.write_shards(d, str(tmp_path / "s"), 3)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert col == "shard_" and got.columns == [*d.columns, col]
+    assert sorted(map(str, got.drop(col).collect())) == sorted(map(str, d.collect()))
+    assert {r[0]: r[1] for r in got.groupBy(col).count().collect()} == {0: 5, 1: 4, 2: 4}
+
+
 # -- 3
 def brute_base(rows):
     words = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -374,6 +384,7 @@ def test_mixing(spark, docs, hard, empty):
     w = dict(cells)  # the same raking on plain dictionaries
     total = sum(cells.values())
     for _ in range(mixing.ROUNDS):
+        old = dict(w)
         for d in range(3):
             m0, m = Counter(), Counter()
             for k in cells:
@@ -381,12 +392,29 @@ def test_mixing(spark, docs, hard, empty):
                 m[k[d]] += w[k]
             s = sum(v**mixing.FLATTEN for v in m0.values())
             w = {k: min(w[k] * mixing.KEEP * total * m0[k[d]] ** mixing.FLATTEN / s / m[k[d]], cells[k]) for k in w}
+        if max(abs(w[k] - old[k]) / old[k] for k in w) <= mixing.TOLERANCE:
+            break
     assert all(abs(r.probability - w[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic]) < 1e-9 for r in got)
     assert {r.doc_id for r in mixing.sample(docs).collect()} == {r.doc_id for r in got if r.kept}
     h = mixing.mix(hard).collect()
     assert len(h) == len(HARD) and {r.source for r in h if r.doc_id == 4} == {""} and mixing.mix(empty).count() == 0
 
 
+def test_mixing_to_given_weights(spark):
+    rows = [(i, "w " * (20 + i % 7), "en" if i % 4 else "de", "ab"[i % 2], 0) for i in range(2000)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    want = {"source": {"a": 1.0, "b": 3.0}, "lang": {"en": 0.8, "de": 0.2}}
+    _, cells = mixing.cells_of(d, "doc_id", "text", "source", "lang", None)
+    targets = mixing.weighted_targets(cells, want, keep=None)
+    got = {(r.dim, r.value): r for r in mixing.margins(mixing.rake(cells, targets, tolerance=1e-6), targets).collect()}
+    total = sum(r.reached for k, r in got.items() if k[0] == "source")
+    assert abs(got["source", "b"].reached / total - 0.75) < 1e-3 and abs(got["lang", "de"].reached / total - 0.2) < 1e-3
+    assert all(r.reached <= r.tokens + 1e-6 for r in got.values())
+    kept = Counter(r.source for r in mixing.sample(d, targets=want, keep=None).collect())
+    assert abs(kept["b"] / (kept["a"] + kept["b"]) - 0.75) < 0.05
+    assert {r.source for r in mixing.sample(d, targets={"source": {"a": 1.0}}, keep=0.4).collect()} == {"a"}
+
+
 # -- 8
 def test_store(spark, docs, hard, empty, tmp_path):
     for n, d in enumerate((docs, hard, empty)):
@@ -407,10 +435,19 @@ def test_store(spark, docs, hard, empty, tmp_path):
 
 def test_store_notices_damage(spark, docs, tmp_path):
     store.write_store(docs, str(tmp_path / "s"))
-    bad = spark.read.parquet(str(tmp_path / "s" / "manifest")).selectExpr("level", "part", "idx", "if(level = 5, 'x', hash) hash").collect()
-    spark.createDataFrame(bad, "level int, part long, idx long, hash string").write.mode("overwrite").parquet(str(tmp_path / "s" / "manifest"))
+    path = str(tmp_path / "s")
+    good = spark.read.parquet(f"{path}/recipes").cache()
+    good.count()
+    # sizes exchanged within a document leave its length, hashes and ids as they were
+    swapped = good.withColumn("sizes", F.when(F.size("sizes") > 1, F.reverse("sizes")).otherwise(F.transform("sizes", lambda x: x + 1)))
+    swapped.write.mode("overwrite").parquet(f"{path}/recipes")
     with pytest.raises(ValueError):
-        store.read_store(spark, str(tmp_path / "s"))
+        store.read_store(spark, path)
+    good.write.mode("overwrite").parquet(f"{path}/recipes")
+    bad = spark.read.parquet(f"{path}/manifest/high").selectExpr("level", "part", "idx", "if(level = 5, 'x', hash) hash").collect()
+    spark.createDataFrame(bad, "level int, part long, idx long, hash string").write.mode("overwrite").parquet(f"{path}/manifest/high")
+    with pytest.raises(ValueError):
+        store.read_store(spark, path)
 
 
 def test_chunks_follow_content():
@@ -449,9 +486,9 @@ def test_native_plans(docs):
 
 
 def test_clashing_columns(spark):
-    d = spark.createDataFrame([(1, "a b", "x", "y", 3, 0.5, "h"), (2, "a b", "x", "y", 3, 0.5, "h")], "doc_id long, text string, lang string, source string, slot long, score double, text_sha256 string")
+    d = spark.createDataFrame([(1, "a b", "x", "y", 3, 0.5, "h"), (2, "a b", "x", "y", 3, 0.5, "h")], "doc_id long, text string, lang string, source string, slot long, score double, text_sha256 string").withColumns({c: F.lit(1) for c in ("_gone", "_GONE_ID", "row", "_key", "_h", "_w", "_m", "_score", "lid", "th", "key", "first")})
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    for out in (exact_dedup.dedup(d), simhash.dedup(d), mixing.sample(d), quality.accept(d, labels), line_dedup.clean(d)):
+    for out in (exact_dedup.dedup(d), simhash.dedup(d), jaccard.dedup(d), mixing.sample(d), quality.accept(d, labels), line_dedup.clean(d)):
         assert out.columns == d.columns
     assert exact_dedup.dedup(d).count() == 1
     for f in (sharding.assign_shards, packing.pack_documents, line_dedup.dropped_lines, class_lm.score_documents):
@@ -479,7 +516,19 @@ def test_rules_compile_to_the_same_score(spark):
     m = quality.fit(x, y)
     assert ((m.score(x) >= 0.5) == y).mean() > 0.95 and 0 < len(m.rules) < 300
     d = spark.createDataFrame([([float(v) for v in r],) for r in x[:50]], "v array<double>")
-    from pyspark.sql import functions as F
-
     s = F.struct(*[F.col("v")[k].alias(n) for k, n in enumerate(quality.STATS)])
     assert np.allclose([r.s for r in d.select(m.column(s).alias("s")).collect()], m.score(x[:50]))
+
+
+def test_held_out_quality(spark):
+    """What the classifier reaches on labels it has not learned from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.classify(docs, labels).where("held_out").join(labels.where("quality in (0, 1)"), "doc_id").select("score", "predicted", "quality").toPandas()
+    rank = got["score"].rank().to_numpy()
+    good = got["quality"].to_numpy() == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    accuracy = (got["predicted"] == got["quality"]).mean()
+    print(f"held out: {len(got)} rows, AUC {auc:.4f}, accuracy {accuracy:.4f}, share of label 1 {good.mean():.4f}")
+    assert auc > 0.9 and accuracy > 0.85
