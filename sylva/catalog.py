@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import sql
-from .operators import bind, edit, events, targeted, typed
+from .operators import bind, command, conform, edit, events, targeted, typed
 from .operators.shred import shred
 from .plans import jsonpath
+from .streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +33,9 @@ def _query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; a file of fewer partitions than there are cores is dealt anew, since parsing costs far more than that."""
+    df, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _lines(order: list[str], text: Column) -> Column:
@@ -59,7 +61,8 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     i = _table(spark, sf, "lineitem")
     row = F.format_string("  - {part: %d, line: %d, qty: %s, flag: \"%s\"}\n", F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag"))
-    i = i.groupBy("l_orderkey").agg(_lines(["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], row).alias("t"))
+    # dealt in a fixed number of partitions: small texts would be gathered in few, and parsing has the larger cost
+    i = i.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy("l_orderkey").agg(_lines(["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], row).alias("t"))
     return i.select(F.col("l_orderkey").alias("k"), F.concat(F.lit("items:\n"), "t").alias("t"))
 
 
@@ -73,19 +76,8 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("k"), _fmt("p:\n  - brand: \"%s\"\n    type: \"%s\"\n    size: %d\n    a: %d.50\n    b: %d5e-1\n", "p_brand", "p_type", "p_size", "p_size", "p_size").alias("t"))
 
 
-_NODES: dict[tuple, DataFrame] = {}
-
-
-def _run(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str, path: str) -> DataFrame:
-    return jsonpath.query(_kept(docs, spark, sf), path)
-
-
-def _kept(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str) -> DataFrame:
-    """A node table that is shredded once and kept: queries join it with itself."""
-    at = (spark.sparkContext.applicationId, docs.__name__, sf)
-    if at not in _NODES:
-        _NODES[at] = shred(docs(spark, sf), "k", "t").persist(StorageLevel.MEMORY_AND_DISK)
-    return _NODES[at]
+def _run(docs: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf: str, path: str, columns: tuple[str, ...] = ("pointer", "text", "rank")) -> DataFrame:
+    return jsonpath.query_texts(docs(spark, sf), "k", "t", path, columns)
 
 
 _ITEMS = "items AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
@@ -98,7 +90,7 @@ def _number(text: str = "text") -> Column:
 @_query("name_selector", "SELECT event_id, '/k' AS pointer, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def name_selector(spark: SparkSession, sf: str) -> DataFrame:
     e = _table(spark, sf, "events").where("props is not null")
-    m = jsonpath.query(shred(e, "event_id", "props"), "$.k")
+    m = jsonpath.query_texts(e, "event_id", "props", "$.k", ("pointer", "text"))
     return m.select(F.col("doc_key").alias("event_id"), "pointer", _number().alias("k"))
 
 
@@ -260,13 +252,13 @@ def canonical_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("numeric_top", "SELECT p_partkey AS part, CAST(p_size AS BIGINT) AS size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10")
 def numeric_top(spark: SparkSession, sf: str) -> DataFrame:
-    m = _run(parts, spark, sf, "$.p[0].a")
+    m = _run(parts, spark, sf, "$.p[0].a", ("text", "num"))
     return m.orderBy(F.col("num").desc(), "doc_key").limit(10).select(F.col("doc_key").alias("part"), F.col("text").cast("double").cast("bigint").alias("size"))
 
 
 @_query("extracted_join", f"WITH {_ITEMS} SELECT p_brand AS brand, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM items JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def extracted_join(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = shred(orders(spark, sf), "k", "t")
+    nodes = shred(orders(spark, sf), "k", "t", columns=("parent", "depth", "key", "text"))
     items = nodes.where("depth = 3 and key in ('part', 'qty')").groupBy("doc_key", "parent").agg(F.max(F.when(F.col("key") == "part", _number())).alias("part"), F.max(F.when(F.col("key") == "qty", _number())).alias("qty"))
     p = _table(spark, sf, "part")
     return items.join(p, F.col("part") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
@@ -327,13 +319,13 @@ def render_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("remove_matches", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, CAST(count(*) FILTER (WHERE qty > 25) AS INT) AS removed, true AS ok, CAST(count(*) FILTER (WHERE qty <= 25) AS BIGINT) AS kept FROM items GROUP BY 1")
 def remove_matches(spark: SparkSession, sf: str) -> DataFrame:
-    got = targeted.edit_matches(orders(spark, sf), "k", "t", "$.items[?@.qty > 25]", "remove", nodes=_kept(orders, spark, sf))
+    got = targeted.edit_matches(orders(spark, sf), "k", "t", "$.items[?@.qty > 25]", "remove")
     return got.select(F.col("doc_key").alias("order_key"), F.col("n_targets").alias("removed"), "ok", F.size(F.from_json(F.get_json_object(sql.yaml_json("text"), "$.items"), "array<string>")).cast("bigint").alias("kept"))
 
 
 @_query("test_matches", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, count(*) AS n, bool_and(l_partkey = 7) AS equal FROM items GROUP BY 1")
 def test_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return targeted.test_matches(orders(spark, sf), "k", "t", "$.items[*].part", "7.0", _kept(orders, spark, sf)).select(F.col("doc_key").alias("order_key"), "n", "equal")
+    return targeted.test_matches(orders(spark, sf), "k", "t", "$.items[*].part", "7.0").select(F.col("doc_key").alias("order_key"), "n", "equal")
 
 
 _PART = T.StructType(
@@ -374,3 +366,161 @@ def struct_write(spark: SparkSession, sf: str) -> DataFrame:
 def deep_merge(spark: SparkSession, sf: str) -> DataFrame:
     c = _table(spark, sf, "customer").select("c_custkey", _fmt("{<<: [{key: %d}, {key: 0, seg: x}], seg: %s}", "c_custkey", "c_mktsegment").alias("t"))
     return c.select(F.col("c_custkey").alias("cust"), sql.yaml_merge("t").alias("text"))
+
+
+# -- edits and reading of hard texts, over whole tables
+def _customers(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    return _table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), text.alias("t"))
+
+
+def _edited(d: DataFrame, ops: list[dict]) -> DataFrame:
+    return d.select("k", edit.edited(F.col("t"), ops).alias("e")).select(F.col("k").alias("cust"), "e.ok", "e.text")
+
+
+_N, _Q, _CR = "chr(10)", "chr(39)", "chr(13)"
+
+
+@_query("hard_documents", f"SELECT c_custkey AS cust, c_custkey % 6 IN (0, 4) AS ok, CASE c_custkey % 6 WHEN 0 THEN '? a' || {_N} || ': 1' || {_N} WHEN 1 THEN 'b: 1' || {_N} || 'b: 2' || {_N} WHEN 2 THEN '%YAML 1.2 x' || {_N} || '---' || {_N} || 'b: 1' || {_N} WHEN 3 THEN 'a:' || {_N} || chr(9) || 'b: 1' || {_N} WHEN 4 THEN 'a: 1 # c' || {_N} ELSE '- [' || {_N} || chr(9) || 'b]' || {_N} END AS text FROM customer")
+def hard_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One failure a document and none of the job: explicit and duplicate keys, bad directives, tabs."""
+    texts = ["? a\n: 1\n? b\n: 2\n", "b: 1\nb: 2\n", "%YAML 1.2 x\n---\nb: 1\n", "a:\n\tb: 1\n", "a: 1 # c\nb: 2\n", "- [\n\tb]\n"]
+    t = F.array(*map(F.lit, texts))[(F.col("c_custkey") % 6).cast("int")]
+    return _edited(_customers(spark, sf, t), [{"op": "remove", "path": "/b"}])
+
+
+@_query("dynamic_pattern", "SELECT p_partkey AS part FROM part WHERE p_partkey % 2 = 0 AND regexp_full_match(p_brand, 'Brand#1.')")
+def dynamic_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns from the data; a bad one is false in its own document."""
+    p = _table(spark, sf, "part")
+    d = p.select(F.col("p_partkey").alias("k"), F.format_string("p:\n  - brand: \"%s\"\n    like: '%s'\n", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "Brand#1.").otherwise("(")).alias("t"))
+    return jsonpath.query_texts(d, "k", "t", "$.p[?match(@.brand, @.like)]", ("pointer",)).select(F.col("doc_key").alias("part"))
+
+
+@_query("root_of_empty", "SELECT c_custkey AS cust, CASE WHEN c_custkey % 2 = 0 THEN 'empty' ELSE 'num' END AS kind FROM customer")
+def root_of_empty(spark: SparkSession, sf: str) -> DataFrame:
+    d = _customers(spark, sf, F.when(F.col("c_custkey") % 2 == 0, "---\n").otherwise("--- 1\n"))
+    return jsonpath.query_texts(d, "k", "t", "$", ("kind",)).select(F.col("doc_key").alias("cust"), "kind")
+
+
+@_query("join_plan", "SELECT n_regionkey AS region, n_name AS name FROM nation WHERE n_nationkey > 5")
+def join_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same language over a node table, as for tables that are stored."""
+    return jsonpath.query(shred(regions(spark, sf), "k", "t"), "$.nations[?@.key > 5].name").select(F.col("doc_key").alias("region"), F.col("text").alias("name"))
+
+
+@_query("edit_keeps_quotes", f"SELECT c_custkey AS cust, true AS ok, 'seg: ' || {_Q} || 'it' || {_Q} || {_Q} || 's' || {_Q} || ' # s' || {_N} || 'key: ' || c_custkey || {_N} || 'q: \"z\"' || {_N} AS text FROM customer")
+def edit_keeps_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    d = _customers(spark, sf, _fmt("seg: '%s' # s\nkey: %d\nq: \"x\"\n", "c_mktsegment", "c_custkey"))
+    return _edited(d, [{"op": "replace", "path": "/seg", "value": "\"it's\""}, {"op": "set", "path": "/q", "value": "z"}])
+
+
+@_query("edit_keeps_line_ends", f"SELECT c_custkey AS cust, true AS ok, 'key: ' || c_custkey || {_CR} || {_N} || 'l:' || {_CR} || {_N} || '  - a' || {_CR} || {_N} || '  - b' || {_CR} || {_N} || 'new: 1' || {_CR} || {_N} AS text FROM customer")
+def edit_keeps_line_ends(spark: SparkSession, sf: str) -> DataFrame:
+    d = _customers(spark, sf, _fmt("key: %d\r\nl:\r\n  - a\r\n", "c_custkey"))
+    return _edited(d, [{"op": "add", "path": "/l/-", "value": "b"}, {"op": "add", "path": "/new", "value": "1"}])
+
+
+@_query("edit_flow_lines", f"SELECT c_custkey AS cust, true AS ok, 'l: [' || {_N} || '  1,' || {_N} || '  ' || c_custkey || ',' || {_N} || '  x' || {_N} || ']' || {_N} AS text FROM customer")
+def edit_flow_lines(spark: SparkSession, sf: str) -> DataFrame:
+    d = _customers(spark, sf, _fmt("l: [\n  1,\n  %d\n]\n", "c_custkey"))
+    return _edited(d, [{"op": "add", "path": "/l/-", "value": "x"}])
+
+
+@_query("edit_guards_anchors", f"SELECT c_custkey AS cust, NOT c_acctbal > 5000 AS ok, CASE WHEN c_acctbal > 5000 THEN 'a: &k {{n: ' || c_custkey || '}}' || {_N} || 'b: *k' || {_N} ELSE 'b: 1' || {_N} || 'c: &k {{n: ' || c_custkey || '}}' || {_N} END AS text FROM customer")
+def edit_guards_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """A move that would take an anchor from an alias is refused; without the alias the anchor moves along."""
+    d = _customers(spark, sf, F.concat(_fmt("a: &k {n: %d}\n", "c_custkey"), F.when(F.col("c_acctbal") > 5000, "b: *k\n").otherwise("b: 1\n")))
+    return _edited(d, [{"op": "move", "from": "/a", "path": "/c"}])
+
+
+@_query("edit_renames_anchored_keys", f"SELECT c_custkey AS cust, true AS ok, '&x ' || {_Q} || 'new key' || {_Q} || ': ' || c_custkey || {_N} || 'b: *x' || {_N} AS text FROM customer")
+def edit_renames_anchored_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _edited(_customers(spark, sf, _fmt("&x 'a': %d\nb: *x\n", "c_custkey")), [{"op": "rename-key", "path": "/a", "value": "new key"}])
+
+
+@_query("edit_renames_clashing_anchors", f"SELECT c_custkey AS cust, true AS ok, 'a: &k ' || c_custkey || {_N} || 'b: [&k_1 1, *k_1]' || {_N} AS text FROM customer")
+def edit_renames_clashing_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return _edited(_customers(spark, sf, _fmt("a: &k %d\n", "c_custkey")), [{"op": "add", "path": "/b", "value": "[&k 1, *k]"}])
+
+
+@_query("patch_members", "SELECT c_custkey AS cust, CASE WHEN c_acctbal > 5000 THEN NULL ELSE 'a: 2' || chr(10) END AS text FROM customer")
+def patch_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches from a column; one with a member twice is refused."""
+    p = F.when(F.col("c_acctbal") > 5000, "[{op: replace, op: replace, path: /a, value: 2}]").otherwise("[{op: replace, path: /a, value: 2}]")
+    return _table(spark, sf, "customer").select(F.col("c_custkey").alias("cust"), sql.yaml_patch(F.lit("a: 1\n"), p).alias("text"))
+
+
+_ORDERED = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("unit", T.StringType(), True, {"yaml": {"comment": "of the size"}}), T.StructField("brand", T.StringType()), T.StructField("own", T.IntegerType(), True, {"yaml": {"skip": True}})])
+
+
+@_query("struct_write_ordered", f"SELECT p_partkey AS part, true AS ok, 'size: ' || p_size || {_N} || '# of the size' || {_N} || 'unit: cm' || {_N} || 'brand: \"' || p_brand || '\"' || {_N} AS text FROM part")
+def struct_write_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    p = _table(spark, sf, "part").select("p_partkey", "p_size", _fmt("size: %d\nbrand: \"%s\"\n", "p_size", "p_brand").alias("t"))
+    new = F.struct(F.col("p_size").cast("int").alias("size"), F.lit("cm").alias("unit"), F.lit(None).cast("string").alias("brand"), F.lit(7).alias("own"))
+    return p.select(F.col("p_partkey").alias("part"), bind.write(F.col("t"), new, _ORDERED, ordered=True).alias("w")).select("part", "w.ok", "w.text")
+
+
+bind.register_codec("centimetres", lambda v: int(str(v).removesuffix(" cm")), lambda v: f"{v} cm")
+_CODED = T.StructType([T.StructField("size", T.IntegerType(), True, {"yaml": {"with": "centimetres"}}), T.StructField("id", T.StructType([T.StructField("value", T.LongType())]), True, {"yaml": {"newtype": True}})])
+
+
+@_query("codec_read", "SELECT p_partkey AS part, CAST(p_size AS INT) AS size, CAST(p_partkey AS BIGINT) AS id FROM part")
+def codec_read(spark: SparkSession, sf: str) -> DataFrame:
+    p = _table(spark, sf, "part").select("p_partkey", bind.read(_fmt("size: %d cm\nid: %d\n", "p_size", "p_partkey"), _CODED).alias("r"))
+    return p.select(F.col("p_partkey").alias("part"), "r.value.size", F.col("r.value.id.value").alias("id"))
+
+
+@_query("directive_edit", f"SELECT s_suppkey AS supp, '%YAML 1.2' || {_N} || '---' || {_N} || 'k: ' || s_suppkey || {_N} AS put, '---' || {_N} || 'k: ' || s_suppkey || {_N} AS taken FROM supplier")
+def directive_edit(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supp"), sql.yaml_set_directive(_fmt("k: %d\n", "s_suppkey"), F.lit("YAML"), F.lit("1.2")).alias("put"))
+    return d.withColumn("taken", sql.yaml_remove_directive("put", F.lit("YAML")))
+
+
+@_query("get_stream", f"WITH {_ITEMS} SELECT l_orderkey AS order_key, string_agg('---' || chr(10) || l_partkey || chr(10), '' ORDER BY i) AS stream FROM items GROUP BY 1")
+def get_stream(spark: SparkSession, sf: str) -> DataFrame:
+    d = orders(spark, sf).select(F.col("k").alias("order_key"), command.executed(F.col("t"), command="get", query="$.items[*].part").alias("r"))
+    return d.select("order_key", F.col("r.output").alias("stream"))
+
+
+@_query("syntax_counts", "SELECT k.kind AS kind, CAST(count(*) * k.n AS BIGINT) AS n FROM supplier, (VALUES ('stream', 1), ('document', 1), ('block_mapping', 1), ('entry', 3), ('key', 3), ('value', 3), ('scalar', 7), ('flow_sequence', 1), ('item', 2), ('comment', 1), ('indicator', 6)) AS k(kind, n) GROUP BY k.kind, k.n")
+def syntax_counts(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), _fmt("key: %d # id\ntags: [a, b]\nn: x\n", "s_suppkey").alias("t"))
+    return events.syntax(d, "k", "t").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query("conformance", "SELECT CASE c_custkey % 4 WHEN 2 THEN 'differs' WHEN 3 THEN 'refused' ELSE 'passed' END AS category, count(*) AS n FROM customer GROUP BY 1")
+def conformance(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("c_custkey") % 4
+    want = F.when(c == 2, "+STR\n-STR\n").otherwise(_fmt("+STR\n+DOC\n=VAL :%d\n-DOC\n-STR\n", "c_custkey"))
+    d = _table(spark, sf, "customer").select("c_custkey", F.when(c.isin(1, 3), "[").otherwise(F.col("c_custkey").cast("string")).alias("t"), want.alias("want"), (c == 1).alias("invalid"))
+    return conform.histogram(conform.conformance(d, "c_custkey", "t", "want", "invalid"))
+
+
+@_query("error_places", "SELECT s_suppkey AS supp, 3 AS line, 4 AS col FROM supplier")
+def error_places(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), _fmt("a: %d\nb: é\nc: [1\n", "s_suppkey").alias("t"))
+    return shred(d, "k", "t", "PERMISSIVE").select(F.col("doc_key").alias("supp"), F.col("error_line").alias("line"), F.col("error_column").alias("col"))
+
+
+@_query("scalar_styles", f"SELECT s_suppkey AS supp, s_name || {_N} || ' x' || {_N} AS literal, s_name || ' y' AS folded, 'a b ' || s_name AS plain, 'A' || chr(9) || s_name AS escaped, s_name || ' z' AS quoted, '255' AS hex FROM supplier")
+def scalar_styles(spark: SparkSession, sf: str) -> DataFrame:
+    n = "s_name"
+    t = F.format_string("literal: |\n  %s\n   x\nfolded: >-\n  %s\n  y\nplain: a\n  b\n  %s\nescaped: \"\\x41\\t%s\"\nquoted: '%s\n  z'\n? hex\n: 0xFF\n", n, n, n, n, n)
+    j = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supp"), F.from_json(sql.yaml_json(t), "literal string, folded string, plain string, escaped string, quoted string, hex string").alias("j"))
+    return j.select("supp", "j.*")
+
+
+@_query("append_documents", f"SELECT s_suppkey AS supp, 'k: ' || s_suppkey || {_N} || '---' || {_N} || 'n: 1' || {_N} AS text FROM supplier")
+def append_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supp"), sql.yaml_append(_fmt("k: %d", "s_suppkey"), F.lit('{"n": 1}')).alias("text"))
+
+
+@_query("windowed_stream", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def windowed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Event-time windows over a stream that is read to its end; the memory sink holds one row a window and value."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    live = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").where("props is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.windowed_counts(live, "ts", "event_id", "props", "/k")
+    name = f"windowed_{abs(hash((sf, spark.sparkContext.applicationId)))}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), F.col("json").alias("k"), "n")

@@ -16,13 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import values
-from .functions.yaml import YamlError
-from .operators import edit, targeted
-from .operators.shred import quote, shred
+from .operators import command, edit
 from .plans import jsonpath
 from .sources import files
 
-EDITS = ("add", "replace", "remove", "move", "copy", "rename-key", "patch")
+EDITS = command.EDITS
 
 
 class Usage(Exception):
@@ -58,7 +56,7 @@ def _ops(a: argparse.Namespace, stdin) -> list[dict]:
             raise Usage("patch needs --patch or --patch-file")
         return edit.read_patch(text)
     o = {"op": a.command, "path": a.pointer}
-    if a.command in ("add", "replace", "rename-key"):
+    if a.command in ("add", "replace", "rename-key", "set"):
         o["value"] = _given(a.value, a.value_file, stdin)
         if o["value"] is None:
             raise Usage(f"{a.command} needs --value")
@@ -71,69 +69,18 @@ def _ops(a: argparse.Namespace, stdin) -> list[dict]:
     return [o]
 
 
-def document(text: str, doc: int | None) -> int:
-    """The chosen document; it must be named where there are several."""
-    n = len(edit.parse(text))
-    if n == 0:
-        raise edit.EditError("no document")
-    if doc is None and n > 1:
-        raise edit.EditError(f"{n} documents: choose one with --doc")
-    if doc is not None and not 0 <= doc < n:
-        raise edit.EditError(f"no document {doc}")
-    return doc or 0
-
-
 def _edit(a: argparse.Namespace, texts: DataFrame, ops: list[dict]) -> DataFrame:
     """(path, ok, text, error)"""
-    doc = a.doc
-    good = texts.where("error is null")
-    if a.query is not None:
-        found = targeted.edit_matches(good, "path", "text", a.query, a.command, ops[0].get("value"), doc or 0)
-        got = found.select(F.col("doc_key").alias("path"), F.expr("ok and n_targets > 0").alias("ok"), "text", F.coalesce("error", F.when(F.col("n_targets") == 0, "no match")).alias("error"))
-    else:
-
-        @F.udf(edit.RESULT, useArrow=True)
-        def run(t):
-            try:
-                return True, edit.apply(t, ops, document(t, doc)), None
-            except (edit.EditError, YamlError, KeyError, RecursionError) as e:
-                return False, t, str(e)
-
-        got = good.withColumn("r", run("text")).select("path", "r.ok", "r.text", "r.error")
+    value = ops[0].get("value") if a.query is not None else None
+    r = command.executed(F.col("text"), command=a.command, query=a.query, value=value, ops=None if a.query is not None else ops, doc=a.doc)
+    got = texts.where("error is null").withColumn("r", r).select("path", "r.ok", "r.text", "r.error")
     return got.unionByName(texts.where("error is not null").select("path", F.lit(False).alias("ok"), "text", "error"))
 
 
 def _read(a: argparse.Namespace, texts: DataFrame, value: str | None) -> DataFrame:
-    """(path, ok, text, error): what get, query or test finds in each text; null text where nothing matches."""
-    doc, command, pointer = a.doc, a.command, a.pointer
-    if a.query is not None and command == "query" or a.query is not None and command == "test":
-        nodes = shred(texts.where("error is null"), "path", "text", "PERMISSIVE").where(F.col("error").isNotNull() | F.lit(doc is None) | (F.col("doc_ix") == (doc or 0))).persist()
-        bad = nodes.where("error is not null").select(F.col("doc_key").alias("path"), F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"), "error")
-        found = jsonpath.query(nodes.where("error is null"), a.query)
-        if command == "query":
-            line = F.udf(lambda p, j: f"{quote(p)}: {j}\n", "string", useArrow=True)("pointer", "json")
-            per = found.withColumn("l", line).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("doc_ix", "rank", "l"))).alias("m"))
-            got = per.select(F.col("doc_key").alias("path"), F.lit(True).alias("ok"), F.array_join(F.transform("m", lambda x: x["l"]), "").alias("text"), F.lit(None).cast("string").alias("error"))
-        else:
-            v = edit.Document(value)
-            same = F.bool_and(F.col("canon") == (v.canon(v.root) if v.root else "null"))
-            per = nodes.where("error is null").select("doc_key").distinct().join(found.groupBy("doc_key").agg(same.alias("same")), "doc_key", "left")
-            got = per.select(F.col("doc_key").alias("path"), F.coalesce("same", F.lit(False)).alias("ok"), F.lit(None).cast("string").alias("text"), F.when(F.col("same").isNull(), "no match").when(~F.col("same"), "not equal").alias("error"))
-        got = got.unionByName(bad)
-    else:
-
-        @F.udf(edit.RESULT, useArrow=True)
-        def run(t):
-            try:
-                ix = document(t, doc)
-                if command == "test":
-                    ok = edit.test(t, pointer, value, ix)
-                    return ok, None, None if ok else "not equal"
-                return True, edit.extract(t, pointer, ix), None
-            except (edit.EditError, YamlError, KeyError, RecursionError) as e:
-                return False, None, str(e)
-
-        got = texts.where("error is null").withColumn("r", run("text")).select("path", "r.ok", "r.text", "r.error")
+    """(path, ok, text, error): what get, query or test finds in each text; null or empty text where nothing matches."""
+    r = command.executed(F.col("text"), command=a.command, pointer=a.pointer, query=a.query, value=value, doc=a.doc)
+    got = texts.where("error is null").withColumn("r", r).select("path", "r.ok", F.col("r.output").alias("text"), "r.error")
     return got.unionByName(texts.where("error is not null").select("path", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"), "error"))
 
 
@@ -146,10 +93,12 @@ def run(args: list[str], stdin=sys.stdin, stdout=sys.stdout, stderr=sys.stderr,
         batch = os.path.isdir(a.target)
         ops = _ops(a, stdin) if a.command in EDITS else []
         value = _given(a.value, a.value_file, stdin) if a.command == "test" else None
-        if a.command in ("get", "test") and a.pointer is None and (a.query is None or a.command == "get") or a.command == "query" and a.query is None or a.command == "test" and value is None:
+        if a.command in ("get", "test") and a.pointer is None and a.query is None or a.command == "query" and a.query is None or a.command == "test" and value is None:
             raise Usage(f"{a.command} lacks an argument")
         if a.query is not None:
             jsonpath.parse(a.query)
+            if a.command in EDITS and a.command not in ("remove", "replace", "rename-key", "set"):
+                raise Usage(f"{a.command} takes no --query")
         if a.pointer is not None:
             edit.tokens(a.pointer)
         if value is not None:

@@ -146,8 +146,8 @@ def dedented(text: str, by: int) -> str:
     return re.sub(rf"(?<=\n) {{0,{by}}}", "", text)
 
 
-def append_document(text: str, value: object) -> str:
-    """A document after the others, with a marker and a line break where these are missing."""
+def append_document(text: str, value: object = Pairs([])) -> str:
+    """A document (without a value an empty mapping) after the others, with a marker and a line break where these are missing."""
     eol = line_break(text)
     body = block(value).replace("\n", eol)
     if not text.strip():

@@ -19,7 +19,7 @@ from ..operators.shred import NODE_COLUMNS, shred_text
 from . import render, values
 from .yaml import YamlError, parse
 
-_BAD = (YamlError, edit.EditError, ValueError, KeyError, RecursionError)
+_BAD = (YamlError, *edit.FAILURES)
 
 
 def _each(f: Callable, *columns: pd.Series) -> pd.Series:
@@ -112,12 +112,28 @@ def yaml_append(text: pd.Series, json: pd.Series) -> pd.Series:
     return _each(lambda t, j: render.append_document(t, values.from_json(j)), text, json)
 
 
+@F.pandas_udf(T.StringType())
+def yaml_set(text: pd.Series, pointer: pd.Series, value: pd.Series) -> pd.Series:
+    """A string set in the style of the scalar that is there."""
+    return _each(edit.set_scalar, text, pointer, value)
+
+
+@F.pandas_udf(T.StringType())
+def yaml_set_directive(text: pd.Series, name: pd.Series, value: pd.Series) -> pd.Series:
+    return _each(edit.set_directive, text, name, value)
+
+
+@F.pandas_udf(T.StringType())
+def yaml_remove_directive(text: pd.Series, name: pd.Series) -> pd.Series:
+    return _each(edit.remove_directive, text, name)
+
+
 @F.pandas_udf(T.StringType())
 def yaml_event_text(text: pd.Series) -> pd.Series:
     return _each(events.event_text, text)
 
 
-SCALARS = {f.__name__: f for f in (yaml_json, yaml_canonical, yaml_error, yaml_documents, yaml_get, yaml_test, yaml_patch, yaml_render, yaml_flow, yaml_format, yaml_merge, yaml_append, yaml_event_text)}
+SCALARS = {f.__name__: f for f in (yaml_json, yaml_canonical, yaml_error, yaml_documents, yaml_get, yaml_test, yaml_patch, yaml_render, yaml_flow, yaml_format, yaml_merge, yaml_append, yaml_set, yaml_set_directive, yaml_remove_directive, yaml_event_text)}
 
 _NODES = ["doc_ix", "pre", "subtree_end", "parent", "depth", "ord", "n_children", "key", "pointer", "kind", "style", "tag", "anchor", "alias", "text", "json", "canon", "span_start", "span_end", "error"]
 _INTS = {"doc_ix", "pre", "subtree_end", "parent", "depth", "ord", "n_children", "span_start", "span_end"}
@@ -150,7 +166,13 @@ class yaml_tokens:
         yield from _rows(events.token_rows, text)
 
 
-TABLES = {"yaml_nodes": yaml_nodes, "yaml_events": yaml_events, "yaml_tokens": yaml_tokens}
+@udtf(returnType=events.SYNTAX)
+class yaml_cst:
+    def eval(self, text: str):
+        yield from _rows(events.syntax_rows, text)
+
+
+TABLES = {"yaml_cst": yaml_cst, "yaml_nodes": yaml_nodes, "yaml_events": yaml_events, "yaml_tokens": yaml_tokens}
 
 
 def register(spark: SparkSession) -> None:

@@ -99,3 +99,65 @@ def merged(v: object, above: int = 0) -> object:
             for k, x in s.items():
                 out.setdefault(k, x)
     return out
+
+
+class Mapping(dict):
+    """An ordered mapping; equal if entries are equal in any order."""
+
+    def insert(self, key: object, value: object) -> object:
+        """The value that was there, or None; a key keeps its place."""
+        old = self.get(key)
+        self[key] = value
+        return old
+
+    def shift_remove(self, key: object) -> object:
+        """Removes an entry; those after it keep their order."""
+        return self.pop(key, None)
+
+    def swap_remove(self, key: object) -> object:
+        """Removes an entry and puts the last one in its place."""
+        if key not in self:
+            return None
+        items, at = list(self.items()), list(self).index(key)
+        out, last = self[key], items.pop()
+        if at < len(items):
+            items[at] = last
+        self.clear()
+        self.update(items)
+        return out
+
+    def retain(self, keep) -> None:
+        for k in [k for k, v in self.items() if not keep(k, v)]:
+            del self[k]
+
+    def entry(self, key: object, default) -> object:
+        """The value of a key, which is put there first where it is missing."""
+        if key not in self:
+            self[key] = default()
+        return self[key]
+
+
+_RANK = ("null", "bool", "number", "string", "sequence", "mapping", "tagged")
+
+
+def _rank(v: object) -> int:
+    kinds = ((type(None), 0), (bool, 1), ((int, float, Decimal), 2), (str, 3), (list, 4), ((dict, Pairs), 5), (Tagged, 6))
+    return next(k for t, k in kinds if isinstance(v, t))
+
+
+def compare(a: object, b: object) -> int | None:
+    """-1, 0 or 1; None where there is no order (a number that is none).  Kinds go in the order of _RANK; mappings compare as lists of entries."""
+    x, y = _rank(a), _rank(b)
+    if x != y:
+        return -1 if x < y else 1
+    if x in (4, 5):
+        m, n = ([list(p) for p in (v.items() if isinstance(v, dict) else v.items)] if x == 5 else v for v in (a, b))
+        for p, q in zip(m, n):
+            if (c := compare(p, q)) != 0:
+                return c
+        return (len(m) > len(n)) - (len(m) < len(n))
+    if x == 6:
+        return compare([a.tag, a.value], [b.tag, b.value])
+    if x == 0:
+        return 0
+    return None if a != a or b != b else (a > b) - (a < b)

@@ -5,12 +5,31 @@ from __future__ import annotations
 import re
 import sys
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 DEPTH = 1024
 _ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "\t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", " ": " ", '"': '"', "/": "/", "\\": "\\", "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029"}
 #: What YAML 1.2.2 does not count as printable.
 _UNPRINTABLE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\x85\\xa0-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]")
 
+#: Blanks, line breaks and comments; a comment starts the text or follows one of the former.
+_GAPS = re.compile(r"(?:[ \t\r\n]+|(?<![^ \t\r\n])#[^\n]*)*")
+#: The rest of a plain scalar on its line, outside and inside flow collections.
+_PLAIN_BLOCK = re.compile(r"(?:[^\n#:]+|:(?![ \t\n\r]|\Z)|(?<![ \t])#)*")
+_PLAIN_FLOW = re.compile(r"(?:[^\n#:,\[\]{}]+|:(?![ \t\n\r,\[\]{}]|\Z)|(?<![ \t])#)*")
+_QUOTED = {"'": re.compile(r"[^'\n]+"), '"': re.compile(r'[^"\\\n]+')}
+_VERSION = re.compile(r"[0-9]+\.[0-9]+\Z")
+_HANDLE = re.compile(r"!(?:[0-9A-Za-z-]*!)?\Z")
+
+
+_WORDS = r"[^\s#:&*!|>'\"%@`{}\[\],]*(?: [^\s#:&*!|>'\"%@`{}\[\],]+)*"
+
+
+@lru_cache(maxsize=256)
+def _entry_line(col: int) -> re.Pattern:
+    """A whole line "key: words" that the next line does not continue."""
+    return re.compile(rf"([A-Za-z_][A-Za-z0-9_-]*): ([A-Za-z0-9_./+]{_WORDS})\n(?= {{0,{col}}}[^\s#])")
+
 
 class YamlError(ValueError):
     def __init__(self, message: str, at: int):
@@ -18,7 +37,7 @@ class YamlError(ValueError):
         self.at = at
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     kind: str  # map, seq, scalar, alias
     style: str  # block, flow, plain, single, double, literal, folded
@@ -28,6 +47,7 @@ class Node:
     tag: str | None = None
     anchor: str | None = None
     items: list = field(default_factory=list)  # seq: nodes; map: (key, value) pairs
+    mark: int = -1  # of an explicit key: where its "?" stands
 
 
 class Parser:
@@ -59,20 +79,16 @@ class Parser:
 
     def skip(self) -> bool:
         """Pass blanks, comments and line breaks; true if a line break was passed."""
-        line = False
-        while self.i < self.n:
-            c = self.s[self.i]
-            if c in " \t\r":
-                self.i += 1
-            elif c == "\n":
-                self.i += 1
-                line = True
-            elif c == "#" and (self.i == 0 or self.s[self.i - 1] in " \t\n\r"):
-                j = self.s.find("\n", self.i)
-                self.i = self.n if j < 0 else j
-            else:
-                break
-        return line
+        at = self.i
+        self.i = _GAPS.match(self.s, at).end()
+        return self.i > at and self.s.find("\n", at, self.i) >= 0
+
+    def spaces(self, at: int) -> int:
+        """Spaces that the line of `at` begins with: tabs do not indent."""
+        start = j = self.s.rfind("\n", 0, at) + 1
+        while j < at and self.s[j] == " ":
+            j += 1
+        return j - start
 
     def indent_ok(self) -> None:
         start = self.s.rfind("\n", 0, self.i) + 1
@@ -91,9 +107,15 @@ class Parser:
                 if self.peek() == "%" and self.column(self.i) == 0:
                     j = self.s.find("\n", self.i)
                     words = self.s[self.i : self.n if j < 0 else j].split()
-                    if words[0] == "%TAG" and len(words) >= 3:
-                        self.tags[words[1]] = words[2]
                     params = next((words[:k] for k, w in enumerate(words) if w.startswith("#")), words)
+                    if words[0] == "%YAML" and not (len(params) == 2 and _VERSION.match(params[1])):
+                        self.fail("a YAML directive has one version")
+                    if words[0] == "%TAG":
+                        if len(params) != 3 or not _HANDLE.match(params[1]):
+                            self.fail("a TAG directive has a handle and a prefix")
+                        if any(d[0] == "TAG" and d[1][0] == params[1] for d in directives):
+                            self.fail("two TAG directives for one handle")
+                        self.tags[params[1]] = params[2]
                     if words[0] == "%YAML" and any(d[0] == "YAML" for d in directives):
                         self.fail("two YAML directives")
                     directives.append((params[0][1:], params[1:], self.i, self.n if j < 0 else j))
@@ -173,8 +195,8 @@ class Parser:
             floor = parent if seq_same and fresh and self.peek() == "-" and self.blank_after(self.i + 1) else least
             if self.i >= self.n or self.marker(self.i) or fresh and self.column(self.i) < floor:
                 return None
-            if fresh and compact and self.s.rfind("\n", 0, self.i) + 1 + self.column(self.i) == self.i:
-                pass
+            if fresh and inline and least > 0 and self.spaces(self.i) < floor:
+                self.fail("tab in indentation")
             tag, anchor, first = self.properties()
             moved = False
             if first >= 0:
@@ -257,12 +279,21 @@ class Parser:
         out = Node("map", "block", key.start if key else self.i)
         if key:
             self.indent_ok_here(col)
+        line = _entry_line(col)
         while True:
+            if key is None and (m := line.match(self.s, self.i)):
+                out.items.append((Node("scalar", "plain", m.start(1), m.end(1), m[1]), Node("scalar", "plain", m.start(2), m.end(2), m[2])))
+                out.end = self.i = m.end(2)
+                if not self.next_key(col):
+                    return out
+                continue
             if key is None:
                 if self.peek() == "?" and self.blank_after(self.i + 1):
+                    mark = self.i
                     self.i += 1
                     at = self.i
                     key = self.entry(col) or Node("scalar", "plain", at, at)
+                    key.mark = mark
                     keep = self.i
                     self.skip()
                     if not (self.i < self.n and self.column(self.i) == col and self.peek() == ":" and self.blank_after(self.i + 1)):
@@ -407,12 +438,9 @@ class Parser:
     def plain(self, least: int, block: bool) -> Node:
         start, lines, end = self.i, [], self.i
         while True:
-            j = self.i
-            while j < self.n:
-                c = self.s[j]
-                if c == "\n" or c == "#" and self.s[j - 1] in " \t" and j > self.i or c == ":" and (self.blank_after(j + 1) or not block and self.s[j + 1] in ",[]{}") or not block and c in ",[]{}":
-                    break
-                j += 1
+            j = (_PLAIN_BLOCK if block else _PLAIN_FLOW).match(self.s, self.i).end()
+            if j == self.i and self.s[j : j + 1] == "#":  # as at the start of a following line's piece
+                j = (_PLAIN_BLOCK if block else _PLAIN_FLOW).match(self.s, j + 1).end()
             piece = self.s[self.i : j].rstrip(" \t\r")
             lines.append(piece)
             end = self.i + len(piece)
@@ -448,7 +476,7 @@ class Parser:
         start, j, parts, line = self.i, self.i + 1, [], ""
         keep = 0  # characters of line that blanks after them may not remove
         while True:
-            if j >= self.n or self.marker(j):
+            if j >= self.n:
                 self.fail("unterminated quoted scalar", start)
             c = self.s[j]
             if c == q:
@@ -497,8 +525,9 @@ class Parser:
                     self.fail("a quoted scalar is indented too little", k)
                 j, line, keep = k, "", 0
                 continue
-            line += c
-            j += 1
+            m = _QUOTED[q].match(self.s, j)
+            line += m[0]
+            j = m.end()
         parts.append(line)
         if len(parts) > 2:
             parts[1:-1] = [p.lstrip(" \t") if not p.strip(" \t") else p for p in parts[1:-1]]
@@ -538,11 +567,12 @@ class Parser:
             if not ready:
                 self.fail("expected , in a flow collection")
             ready = False
-            pair = self.peek() == "?" and self.blank_after(self.i + 1)
+            pair, mark = self.peek() == "?" and self.blank_after(self.i + 1), self.i
             if pair:
                 self.i += 1
                 self.flow_skip(least)
             key = self.flow_value(least)
+            key.mark = mark if pair else -1
             after = self.i
             self.flow_skip(least)
             quick = key.style in ("single", "double", "flow") or key.kind == "alias"
@@ -570,7 +600,7 @@ class Parser:
 
     def flow_skip(self, least: int) -> None:
         if self.skip():
-            if self.i < self.n and (self.marker(self.i) or self.column(self.i) < least and self.peek() not in "]}"):
+            if self.i < self.n and (self.marker(self.i) or self.spaces(self.i) < least and self.peek() not in "]}"):
                 self.fail("a flow collection is indented too little")
 
     def flow_value(self, least: int) -> Node:
@@ -587,6 +617,23 @@ class Parser:
         return out
 
 
+def position(text: str, at: int) -> tuple[int, int]:
+    """Line and column, from 1, in characters; lines end at U+000A."""
+    return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at)
+
+
+def byte_offsets(text: str):
+    """A function from character offsets to byte offsets; one pass over a text that is not ASCII."""
+    if text.isascii():
+        return lambda at: at
+    import numpy as np
+
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    table = np.r_[0, np.cumsum(size)].tolist()
+    return table.__getitem__
+
+
 def parse(text: str) -> list[Node | None]:
     """Documents of a stream; an empty document is None.  Raises YamlError."""
     return framed(text)[0]

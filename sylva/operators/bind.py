@@ -7,6 +7,10 @@ A field's metadata may hold {"yaml": {...}} with
 - flatten: a struct whose fields stand in the same mapping
 - rest: a map that takes the entries no other field claims
 - enum: a struct of `variant` and one field for each variant with data, written `!variant data`
+- skip: neither read (the default or null stands) nor written
+- comment: lines above the entry where it is written anew
+- newtype: a struct of one field that reads and writes as that field
+- with: the name of a codec (`register_codec`) between document values and the field's
 
 The schema's own rule for names is the `rename` argument.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -23,12 +28,24 @@ from pyspark.sql import types as T
 
 from ..functions import render, values
 from ..functions.render import Tagged
-from ..functions.yaml import YamlError
 from . import edit
 
 _INTS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
+#: Codecs by name: (from a document's value, to a document's value).
+CODECS: dict[str, tuple[Callable, Callable]] = {}
+
+
+def register_codec(name: str, read: Callable[[object], object], write: Callable[[object], object]) -> None:
+    """A codec that fields name in `with`; it travels to the executors with each read and write."""
+    CODECS[name] = (read, write)
+
+
+def _use(codecs: dict) -> None:
+    CODECS.update(codecs)
+
+
 class BindError(ValueError):
     """A value that does not fit; the message begins with its pointer."""
 
@@ -95,6 +112,9 @@ def _struct(v: dict, t: T.StructType, pointer: str, rename: str | None, free: se
         if o.get("flatten"):
             out[f.name] = _struct(v, f.dataType, pointer, rename, free)
             continue
+        if o.get("skip"):
+            out[f.name] = o.get("default")
+            continue
         names = [o.get("name") or (render.renamed(f.name, rename) if rename else f.name), *o.get("alias", [])]
         key = next((n for n in names if n in v), None)
         free -= {key}
@@ -108,7 +128,16 @@ def _struct(v: dict, t: T.StructType, pointer: str, rename: str | None, free: se
         elif v[key] is None and f.nullable:
             out[f.name] = None
         else:
-            out[f.name] = (_enum if o.get("enum") else bind)(v[key], f.dataType, _step(pointer, key), rename)
+            x = v[key]
+            if "with" in o:
+                try:
+                    x = CODECS[o["with"]][0](x)
+                except (ValueError, TypeError, KeyError, ArithmeticError) as e:
+                    raise BindError(f"{_step(pointer, key)}: {e}") from None
+            if o.get("newtype"):
+                out[f.name] = {f.dataType[0].name: bind(x, f.dataType[0].dataType, _step(pointer, key), rename)}
+            else:
+                out[f.name] = (_enum if o.get("enum") else bind)(x, f.dataType, _step(pointer, key), rename)
     if later:
         out[later.name] = bind({k: x for k, x in v.items() if k in free}, later.dataType, pointer, rename)
     return {f.name: out[f.name] for f in t}
@@ -137,9 +166,13 @@ def unbind(row: object, t: T.DataType, rename: str | None = None) -> object:
         out: dict = {}
         for f in t:
             x, o = row[f.name], _options(f)
-            if x is None:
+            if x is None or o.get("skip"):
                 continue
-            if o.get("flatten") or o.get("rest"):
+            if o.get("newtype"):
+                x, f = x[f.dataType[0].name], T.StructField(f.name, f.dataType[0].dataType, True, f.metadata)
+            if "with" in o:
+                out[o.get("name") or (render.renamed(f.name, rename) if rename else f.name)] = CODECS[o["with"]][1](unbind(x, f.dataType, rename))
+            elif o.get("flatten") or o.get("rest"):
                 out |= unbind(x, f.dataType, rename)
             elif o.get("enum"):
                 name = x["variant"]
@@ -159,15 +192,16 @@ def unbind(row: object, t: T.DataType, rename: str | None = None) -> object:
 def read(text: Column, schema: T.StructType, rename: str | None = None, merge: bool = False) -> Column:
     """struct(ok, value, error): the one document of each text as `schema`; value is null on error.  Null text is empty."""
     out = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", _nullable(schema)), T.StructField("error", T.StringType())])
-    spec = schema.json()
+    spec, codecs = schema.json(), dict(CODECS)
 
     @F.udf(out, useArrow=True)
     def run(t):
+        _use(codecs)
         try:
             v = values.one(t or "")
             return True, bind(values.merged(v) if merge else v, T.StructType.fromJson(json.loads(spec)), "", rename), None
-        except (ValueError, RecursionError) as e:
-            return False, None, str(e)
+        except edit.FAILURES as e:
+            return False, None, edit.message(e)
 
     return run(text)
 
@@ -180,29 +214,54 @@ def _nullable(t: T.DataType) -> T.DataType:
     return T.MapType(t.keyType, _nullable(t.valueType), True) if isinstance(t, T.MapType) else t
 
 
-def overlay(text: str, new: object, prune: bool = False, ix: int = 0) -> str:
+def layout(t: T.DataType, rename: str | None = None) -> dict:
+    """Of a struct's own level: keys in declared order, and the comments of those that have one."""
+    keys, notes, inner = [], {}, {}
+    for f in t:
+        o = _options(f)
+        if o.get("rest") or o.get("skip"):
+            continue
+        if o.get("flatten"):
+            sub = layout(f.dataType, rename)
+            keys += sub["keys"]
+            notes |= sub["notes"]
+            inner |= sub["inner"]
+            continue
+        name = o.get("name") or (render.renamed(f.name, rename) if rename else f.name)
+        keys.append(name)
+        if "comment" in o:
+            notes[name] = o["comment"]
+        if isinstance(f.dataType, T.StructType) and not (o.get("enum") or o.get("newtype")):
+            inner[name] = layout(f.dataType, rename)
+    return {"keys": keys, "notes": notes, "inner": inner}
+
+
+def overlay(text: str, new: object, prune: bool = False, ix: int = 0, plan: dict | None = None) -> str:
     """A text edited until its document equals `new` where `new` speaks.
 
     Equal values are not touched, so comments and styles stay; keys unknown to
-    `new` stay unless `prune`; null members of `new` leave the text alone.
+    `new` stay unless `prune`; null members of `new` leave the text alone.  With a
+    `plan` (see `layout`) new entries stand in declared order, with their comments.
     """
     if not text.strip():
         return render.block(new)
     docs = values.documents(text)
-    return _overlay(text, docs[ix] if ix < len(docs) else None, new, "", prune, ix)
+    return _overlay(text, docs[ix] if ix < len(docs) else None, new, "", prune, ix, plan)
 
 
 def _same(a: object, b: object) -> bool:
     return type(a) is type(b) and a == b or isinstance(a, (int, float, Decimal)) and isinstance(b, (int, float, Decimal)) and not isinstance(a, bool) and not isinstance(b, bool) and a == b
 
 
-def _overlay(text: str, old: object, new: object, at: str, prune: bool, ix: int) -> str:
+def _overlay(text: str, old: object, new: object, at: str, prune: bool, ix: int, plan: dict | None = None) -> str:
     if isinstance(old, dict) and isinstance(new, dict):
         for k, x in new.items():
-            if k not in old:
+            if k not in old and plan:
+                text = edit.add_in_order(text, _step(at, k), render.flow(x), plan["keys"], ix, plan["notes"].get(k))
+            elif k not in old:
                 text = edit.add(text, _step(at, k), render.flow(x), ix)
             elif x is not None:
-                text = _overlay(text, old[k], x, _step(at, k), prune, ix)
+                text = _overlay(text, old[k], x, _step(at, k), prune, ix, (plan or {}).get("inner", {}).get(k))
         for k in [k for k in old if k not in new] if prune else []:
             text = edit.remove(text, _step(at, k), ix)
         return text
@@ -215,16 +274,18 @@ def _overlay(text: str, old: object, new: object, at: str, prune: bool, ix: int)
     return text if _same(old, new) else edit.replace(text, at, render.flow(new), ix)
 
 
-def write(text: Column, value: Column, schema: T.StructType, rename: str | None = None, prune: bool = False) -> Column:
-    """struct(ok, text, error): each text with the fields of its struct written into it; on error the text is unchanged."""
-    spec = schema.json()
+def write(text: Column, value: Column, schema: T.StructType, rename: str | None = None, prune: bool = False, ordered: bool = False) -> Column:
+    """struct(ok, text, error): each text with the fields of its struct written into it; on error the text is unchanged.  ordered: new entries stand where the schema declares them."""
+    spec, codecs = schema.json(), dict(CODECS)
 
     @F.udf(edit.RESULT, useArrow=True)
     def run(t, v):
+        _use(codecs)
         try:
-            return True, t if v is None else overlay(t or "", unbind(v, T.StructType.fromJson(json.loads(spec)), rename), prune), None
-        except (ValueError, YamlError, RecursionError) as e:
-            return False, t, str(e)
+            own = T.StructType.fromJson(json.loads(spec))
+            return True, t if v is None else overlay(t or "", unbind(v, own, rename), prune, 0, layout(own, rename) if ordered else None), None
+        except edit.FAILURES as e:
+            return False, t, edit.message(e)
 
     return run(text, value)
 

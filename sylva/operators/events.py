@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.yaml import Node, YamlError, framed
+from ..functions.yaml import Node, YamlError, byte_offsets, framed
 
 EVENTS = "doc_ix int, ord int, event string, kind string, style string, tag string, anchor string, value string, span_start int, span_end int"
 TOKENS = "ord int, kind string, text string, span_start int, span_end int"
@@ -25,20 +25,10 @@ _MARKS = {"plain": ":", "single": "'", "double": '"', "literal": "|", "folded":
 _ESCAPED = str.maketrans({"\\": "\\\\", "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b"})
 
 
-class _Bytes:
-    """Byte offsets of character offsets."""
-
-    def __init__(self, text: str):
-        self.text, self.plain = text, text.isascii()
-
-    def __call__(self, at: int) -> int:
-        return at if self.plain else len(self.text[:at].encode())
-
-
 def event_rows(text: str) -> list[tuple]:
     """Rows of EVENTS; kind is the start, end or leaf that the event is about."""
     docs, frames = framed(text)
-    byte, out = _Bytes(text), []
+    byte, out = byte_offsets(text), []
 
     def put(ix, event, kind, n: Node | None = None, value=None, at=None):
         at = at or ((n.start, n.end) if n else (0, 0))
@@ -111,7 +101,7 @@ def token_rows(text: str) -> list[tuple]:
             todo += n.items if n.kind == "seq" else [x for kv in n.items for x in kv]
     leaves += [(a, b, "directive") for f in frames for _, _, a, b in f["directives"]]
     leaves.sort()
-    byte, out, at, flow = _Bytes(text), [], 0, 0
+    byte, out, at, flow = byte_offsets(text), [], 0, 0
 
     def put(kind: str, a: int, b: int) -> None:
         out.append((len(out), kind, text[a:b], byte(a), byte(b)))
@@ -136,8 +126,49 @@ def token_rows(text: str) -> list[tuple]:
     return out
 
 
+SYNTAX = "node int, parent int, depth int, kind string, text string, span_start int, span_end int"
+
+
+def syntax_rows(text: str) -> list[tuple]:
+    """Rows of SYNTAX in pre-order: stream, documents, directives, collections, entries, items, keys and values, scalars and aliases, and the tokens between them."""
+    docs, frames = framed(text)
+    byte, out = byte_offsets(text), []
+
+    def put(kind: str, parent: int, depth: int, a: int, b: int, leaf: bool = False) -> int:
+        out.append((len(out), parent, depth, kind, text[a:b] if leaf else None, byte(a), byte(b)))
+        return len(out) - 1
+
+    def visit(n: Node, parent: int, depth: int) -> None:
+        if n.kind in ("scalar", "alias"):
+            put(n.kind, parent, depth, n.start, n.end, True)
+            return
+        me = put(("flow_" if n.style == "flow" else "block_") + ("mapping" if n.kind == "map" else "sequence"), parent, depth, n.start, n.end)
+        for item in n.items:
+            if n.kind == "seq":
+                visit(item, put("item", me, depth + 1, item.start, item.end), depth + 2)
+                continue
+            key, value = item
+            at = put("entry", me, depth + 1, key.start if key.mark < 0 else key.mark, max(key.end, value.end))
+            visit(key, put("key", at, depth + 2, key.start, key.end), depth + 3)
+            visit(value, put("value", at, depth + 2, value.start, value.end), depth + 3)
+
+    top = put("stream", -1, 0, 0, len(text))
+    for root, frame in zip(docs, frames):
+        own = [d[2:] for d in frame["directives"]]
+        spans = own + ([(root.start, root.end)] if root else [])
+        me = put("document", top, 1, min((a for a, _ in spans), default=0), max((b for _, b in spans), default=0))
+        for a, b in own:
+            put("directive", me, 2, a, b, True)
+        if root:
+            visit(root, me, 2)
+    for _, kind, t, a, b in token_rows(text):
+        if kind in ("comment", "anchor", "tag", "start", "end", "indicator"):
+            out.append((len(out), top, 1, kind, t, a, b))
+    return out
+
+
 def directive_rows(text: str) -> list[tuple]:
-    byte = _Bytes(text)
+    byte = byte_offsets(text)
     return [(ix, k, name, params, byte(a), byte(b)) for ix, f in enumerate(framed(text)[1]) for k, (name, params, a, b) in enumerate(f["directives"])]
 
 
@@ -176,6 +207,10 @@ def tokens(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST") -> Dat
     return table(texts, key, text, TOKENS, token_rows, mode)
 
 
+def syntax(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST") -> DataFrame:
+    return table(texts, key, text, SYNTAX, syntax_rows, mode)
+
+
 def directives(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST") -> DataFrame:
     return table(texts, key, text, DIRECTIVES, directive_rows, mode)
 

@@ -16,22 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import TAGS, number_text, ordered, resolve
-from ..functions.yaml import Node, YamlError, parse
+from ..functions.yaml import Node, YamlError, byte_offsets, parse, position
 
 _NUM = T.StructType([T.StructField("sgn", T.IntegerType()), T.StructField("places", T.LongType()), T.StructField("digits", T.StringType())])
 _NODE = [
     ("doc_ix", "int"), ("pre", "int"), ("subtree_end", "int"), ("parent", "int"), ("depth", "int"), ("ord", "int"), ("n_children", "int"),
     ("key", "string"), ("pointer", "string"), ("kind", "string"), ("style", "string"), ("tag", "string"), ("anchor", "string"), ("alias", "string"),
     ("text", "string"), ("bool_val", "boolean"), ("num", _NUM), ("is_int", "boolean"), ("canon", "string"), ("json", "string"),
-    ("span_start", "int"), ("span_end", "int"), ("error", "string"), ("error_at", "int"),
+    ("span_start", "int"), ("span_end", "int"), ("error", "string"), ("error_at", "int"), ("error_line", "int"), ("error_column", "int"),
 ]
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 NODE_COLUMNS = [n for n, _ in _NODE]
 
 
-def schema(key_type: T.DataType) -> T.StructType:
+def schema(key_type: T.DataType, columns: tuple[str, ...] | None = None) -> T.StructType:
     simple = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
-    return T.StructType([T.StructField("doc_key", key_type), *(T.StructField(n, simple.get(t, t)) for n, t in _NODE)])
+    return T.StructType([T.StructField("doc_key", key_type), *(T.StructField(n, simple.get(t, t)) for n, t in _NODE if columns is None or n in columns)])
 
 
 def quote(text: str) -> str:
@@ -39,13 +39,10 @@ def quote(text: str) -> str:
 
 
 class _Shredder:
-    def __init__(self, text: str):
-        self.text, self.rows = text, []
+    def __init__(self, text: str, whole: bool = True):
+        self.text, self.rows, self.whole = text, [], whole
         self.budget = max(10_000, 100 * len(text))
-        self.plain = text.isascii()
-
-    def byte(self, at: int) -> int:
-        return at if self.plain else len(self.text[:at].encode())
+        self.byte = byte_offsets(text)
 
     def document(self, ix: int, root: Node | None) -> None:
         """Rows of one document; raises if it does not fit the JSON model."""
@@ -110,7 +107,8 @@ class _Shredder:
             inside = above | {id(n): True}
             if n.kind == "seq":
                 kids = [self.visit(x, pre, depth + 1, k, None, f"{pointer}/{k}", inside, None) for k, x in enumerate(n.items)]
-                row["json"], row["canon"] = ("[" + ",".join(c[f] for c in kids) + "]" for f in ("json", "canon"))
+                if self.whole:
+                    row["json"], row["canon"] = ("[" + ",".join(c[f] for c in kids) + "]" for f in ("json", "canon"))
             else:
                 seen, kids = set(), []
                 for k, (name, x) in enumerate(n.items):
@@ -124,40 +122,48 @@ class _Shredder:
                     seen.add(name.value)
                     step = name.value.replace("~", "~0").replace("/", "~1")
                     kids.append((name.value, self.visit(x, pre, depth + 1, k, name.value, f"{pointer}/{step}", inside, None)))
+                if not self.whole:
+                    row["subtree_end"] = self.count - 1
+                    return row
                 row["json"] = "{" + ",".join(f"{quote(k)}:{c['json']}" for k, c in kids) + "}"
                 row["canon"] = "{" + ",".join(f"{quote(k)}:{c['canon']}" for k, c in sorted(kids, key=lambda kc: kc[0])) + "}"
         row["subtree_end"] = self.count - 1
         return row
 
 
-def shred_text(text: str | None) -> list[dict]:
+def shred_text(text: str | None, whole: bool = True) -> list[dict]:
     """Node rows of a stream, or one row that holds the error."""
     text = text or ""
     try:
-        s = _Shredder(text)
+        s = _Shredder(text, whole)
         for ix, root in enumerate(parse(text)):
             s.document(ix, root)
         return s.rows
     except (YamlError, RecursionError) as e:
         at = getattr(e, "at", 0)
-        return [dict.fromkeys(NODE_COLUMNS) | {"error": str(e) or "nested too deeply", "error_at": len(text[:at].encode())}]
+        line, column = position(text, at)
+        return [dict.fromkeys(NODE_COLUMNS) | {"error": str(e) or "nested too deeply", "error_line": line, "error_column": column, "error_at": len(text[:at].encode("utf-8", "surrogatepass"))}]
 
 
-def shred(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST") -> DataFrame:
+def shred(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST", columns: tuple[str, ...] | None = None) -> DataFrame:
     """Node table of the documents in column `text`.
 
     FAILFAST raises on the first text that does not parse or fit the JSON model;
     PERMISSIVE keeps a row with `error` and `error_at` in its place; DROPMALFORMED
     leaves the text out.  No shuffle: every text is shredded where it is read.
+    `columns` names the columns to make; without json and canon the text of inner
+    values is not built.
     """
-    out = schema(texts.schema[key].dataType)
+    out = schema(texts.schema[key].dataType, columns)
+    made = [(n, t) for n, t in _NODE if columns is None or n in columns]
+    whole = columns is None or bool({"json", "canon"} & set(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part, at, rows = batch.slice(lo, 500), [], []
                 for i, t in enumerate(part.column(1)):
-                    got = shred_text(t.as_py())
+                    got = shred_text(t.as_py(), whole)
                     if got and got[0]["error"] is not None:
                         if mode == "FAILFAST":
                             raise ValueError(f"document {part.column(0)[i]}: {got[0]['error']} at byte {got[0]['error_at']}")
@@ -166,11 +172,11 @@ def shred(texts: DataFrame, key: str, text: str, mode: str = "FAILFAST") -> Data
                     rows += got
                     at += [i] * len(got)
                 num = pa.struct([("sgn", pa.int32()), ("places", pa.int64()), ("digits", pa.string())])
-                cols = [pa.array([r[n] for r in rows], _ARROW.get(t, num)) for n, t in _NODE]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *cols], ["doc_key", *NODE_COLUMNS])
+                cols = [pa.array([r[n] for r in rows], _ARROW.get(t, num)) for n, t in made]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *cols], ["doc_key", *(n for n, _ in made)])
 
     return texts.select(F.col(key).alias("doc_key"), F.col(text).alias("_text")).mapInArrow(run, out)
 
 
 def errors(nodes: DataFrame) -> DataFrame:
-    return nodes.where("error is not null").select("doc_key", "error", "error_at")
+    return nodes.where("error is not null").select("doc_key", "error", "error_at", "error_line", "error_column")

@@ -1,70 +1,29 @@
-"""Edits at the places a JSONPath query finds."""
+"""Edits and tests at the places a JSONPath query finds, each text by itself: no join, no shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.yaml import YamlError
 from ..plans import jsonpath
-from . import edit
-from .shred import shred
+from . import command, edit
 
 
-def _place(pointer: str) -> tuple:
-    steps = edit.tokens(pointer)
-    return (-len(steps), [(-int(s), "") if s.isdigit() else (0, s) for s in steps])
-
-
-def targets(pointers: list[str], nested: bool = False) -> list[str]:
-    """Each place once, without places below another one (unless nested), deeper and later places first."""
-    once = set(pointers)
-    kept = once if nested else {p for p in once if not any(p.startswith(q + "/") for q in _prefixes(p) & once)}
-    return sorted(kept, key=_place)
-
-
-def _prefixes(pointer: str) -> set[str]:
-    steps = pointer.split("/")
-    return {"/".join(steps[:k]) for k in range(1, len(steps))}
-
-
-def apply_at(text: str, pointers: list[str], op: str, value: str | None, ix: int) -> str:
-    """One operation at every place, all or nothing."""
-    for p in targets(pointers, op == "rename-key"):
-        text = edit.apply(text, [{"op": op, "path": p, "value": value}], ix)
-    return text
-
-
-def edit_matches(texts: DataFrame, key: str, text: str, path: str, op: str, value: str | None = None, ix: int = 0, nodes: DataFrame | None = None) -> DataFrame:
+def edit_matches(texts: DataFrame, key: str, text: str, path: str, op: str, value: str | None = None, ix: int = 0) -> DataFrame:
     """(doc_key, n_targets, ok, text, error): remove, replace or rename-key at each match of `path`.
 
     One row a text, unmatched and unparsable ones too (unchanged; the latter with
-    the error).  Pointers are gathered a document, so the list is bounded by it;
-    keys must be unique.  Queries of several steps join the node table with itself:
-    pass a kept one as `nodes` to shred only once.
+    the error).  An entry that is reached by several aliases is edited once.
     """
     if op not in ("remove", "replace", "rename-key"):
         raise edit.EditError(f"{op!r} does not work on matches")
-    src = texts.select(F.col(key).alias("doc_key"), F.col(text).alias("_text"))
-    nodes = shred(src, "doc_key", "_text", "DROPMALFORMED") if nodes is None else nodes
-    found = jsonpath.query(nodes, path).where(F.col("doc_ix") == ix)
-    at = found.groupBy("doc_key").agg(F.collect_set("pointer").alias("_at"))
-
-    @F.udf(edit.RESULT, useArrow=True)
-    def run(t, pointers):
-        try:
-            edit.parse(t or "")
-            return True, apply_at(t, list(pointers), op, value, ix) if pointers is not None else t, None
-        except (edit.EditError, YamlError, RecursionError) as e:
-            return False, t, str(e)
-
-    got = src.join(at, "doc_key", "left").withColumn("_r", run("_text", "_at"))
-    return got.select("doc_key", F.coalesce(F.size("_at"), F.lit(0)).alias("n_targets"), "_r.ok", "_r.text", "_r.error")
+    jsonpath.parse(path)
+    got = texts.select(F.col(key).alias("doc_key"), F.col(text).alias("_text"), command.executed(F.col(text), command=op, query=path, value=value, doc=ix).alias("_r"))
+    missed = F.col("_r.error") == "no match"
+    return got.select("doc_key", F.coalesce(F.size("_r.pointers"), F.lit(0)).alias("n_targets"), (F.col("_r.ok") | missed).alias("ok"), F.when(F.col("_r.ok"), F.col("_r.text")).otherwise(F.col("_text")).alias("text"), F.when(~missed, F.col("_r.error")).alias("error"))
 
 
-def test_matches(texts: DataFrame, key: str, text: str, path: str, value: str, nodes: DataFrame | None = None) -> DataFrame:
-    """(doc_key, n, equal): whether every match equals `value`; a text without matches has no row."""
-    v = edit.Document(value)
-    want = v.canon(v.root) if v.root else "null"
-    found = jsonpath.query(shred(texts, key, text, "DROPMALFORMED") if nodes is None else nodes, path)
-    return found.groupBy("doc_key").agg(F.count("*").alias("n"), F.bool_and(F.col("canon") == want).alias("equal"))
+def test_matches(texts: DataFrame, key: str, text: str, path: str, value: str) -> DataFrame:
+    """(doc_key, n, equal): whether every match equals `value`; a text without matches, or one that does not parse, has no row."""
+    got = texts.select(F.col(key).alias("doc_key"), command.executed(F.col(text), command="test", query=path, value=value).alias("_r"))
+    return got.where("size(_r.pointers) > 0").select("doc_key", F.size("_r.pointers").cast("long").alias("n"), F.col("_r.ok").alias("equal"))

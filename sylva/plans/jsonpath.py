@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number, ordered
+from . import local
 
 
 class JsonPathError(ValueError):
@@ -285,7 +286,7 @@ def _children(nodes: DataFrame) -> DataFrame:
 
 class Plan:
     def __init__(self, nodes: DataFrame):
-        self.nodes = nodes.where("kind is not null and kind <> 'empty'")
+        self.nodes = nodes.where("kind is not null")
         self.kids = _children(self.nodes)
 
     def start(self) -> DataFrame:
@@ -362,9 +363,10 @@ class Plan:
             both = (a["kind"] == "str") & (p["kind"] == "str")
             if e[2][1][0] == "lit":
                 pattern = F.lit(java_pattern(e[2][1][2]) if e[1] == "search" else "^(?:" + java_pattern(e[2][1][2]) + r")\z")
-            else:
-                pattern = F.concat(F.lit("(?dU)" if e[1] == "search" else "^(?:(?dU)"), p["text"], F.lit("" if e[1] == "search" else r")\z"))
-            return F.coalesce(F.when(both, F.regexp_like(a["text"], pattern)), F.lit(False))
+                return F.coalesce(F.when(both, F.regexp_like(a["text"], pattern)), F.lit(False))
+            # a pattern from the data may be bad: that is false in its document and no error of the job
+            like = F.pandas_udf(local.likes if e[1] == "search" else local.matches, "boolean")
+            return F.coalesce(F.when(both, like(a["text"], p["text"])), F.lit(False))
         op, a, b = e[1], self.value(state, e[2]), self.value(state, e[3])
         same = F.when(a["kind"].isNull() | b["kind"].isNull(), a["kind"].isNull() & b["kind"].isNull()).otherwise((a["kind"] == b["kind"]) & (a["canon"] == b["canon"]))
         less = lambda x, y: F.coalesce(F.when((x["kind"] == "num") & (y["kind"] == "num"), x["num"] < y["num"]).when((x["kind"] == "str") & (y["kind"] == "str"), x["text"] < y["text"]), F.lit(False))
@@ -427,6 +429,15 @@ class Plan:
         return {"kind": F.when(n.isNotNull(), F.lit("num")), "num": F.when(n.isNotNull(), num), "canon": F.when(n.isNotNull(), canon), "text": none.cast("string")}
 
 
+def query_texts(texts: DataFrame, key: str, text: str, path: str, columns: tuple[str, ...] = local.COLUMNS, mode: str = "FAILFAST") -> DataFrame:
+    """Matches of a JSONPath in the documents of column `text`, found where each text is read: no node table, join or shuffle.
+
+    Columns as `query`, of which only those named are made; `rank` is the place in
+    the nodelist.  The modes are those of `shred`; PERMISSIVE adds a column `error`.
+    """
+    return local.query_texts(texts, key, text, parse(path), columns, mode)
+
+
 def query(nodes: DataFrame, path: str) -> DataFrame:
     """Matches of a JSONPath in every document: doc_key, doc_ix, pointer, kind, text, num, json, canon, rank, in no order.
 

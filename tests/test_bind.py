@@ -50,3 +50,16 @@ def test_columns(spark):
     back = df.where("id = 1").select("t", bind.read(df.t, CONFIG, "kebab-case").alias("r"))
     text = back.select(bind.write(back.t, back.r.value, CONFIG, "kebab-case").alias("w")).first()["w"]
     assert text.ok and text.text == TEXT.replace("{host: b}", "{host: b, port: 80}")
+
+
+def test_skip_comment_order_newtype_and_codecs():
+    bind.register_codec("celsius", lambda v: float(str(v).rstrip("C")), lambda v: f"{v:g}C")
+    one = T.StructType([T.StructField("n", T.LongType())])
+    own = T.StructType([T.StructField("id", one, True, {"yaml": {"newtype": True}}), T.StructField("heat", T.DoubleType(), True, {"yaml": {"with": "celsius", "comment": "at noon"}}), T.StructField("tmp", T.LongType(), True, {"yaml": {"skip": True, "default": 3}}), T.StructField("last", T.StringType())])
+    got = bind.bind(values.one("id: 4\nheat: 21.5C\ntmp: 9\n"), own)
+    assert got == {"id": {"n": 4}, "heat": 21.5, "tmp": 3, "last": None}
+    assert bind.unbind(got, own) == {"id": 4, "heat": "21.5C"}
+    plan = bind.layout(own)
+    assert bind.overlay("id: 4\nlast: z\n", {"heat": "3C"}, plan=plan) == "id: 4\n# at noon\nheat: \"3C\"\nlast: z\n"
+    with pytest.raises(bind.BindError):
+        bind.bind({"heat": "warm"}, own)

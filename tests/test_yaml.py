@@ -35,7 +35,7 @@ def test_values(text, want):
     assert [plain(d) for d in parse(text)] == want
 
 
-@pytest.mark.parametrize("text", ["a: b: c", "[a", '"x', "a:\n\tb: 1\n", "{a b: }]", "key: - a", "[1,,2]", "a: *", "a: 1\n b: 2\n", "%YAML 1.2\n", "- a\nb\n", '"\\q"', "&a &b c", "!e!x y"])
+@pytest.mark.parametrize("text", ["a: b: c", "[a", '"x', "a:\n\tb: 1\n", "{a b: }]", "key: - a", "[1,,2]", "a: *", "a: 1\n b: 2\n", "%YAML 1.2\n", "- a\nb\n", '"\\q"', "&a &b c", "!e!x y", "%YAML 1.2 more\n--- a", "%YAML\n--- a", "%TAG !x\n--- a", "%TAG !a! b\n%TAG !a! c\n--- d", "k: [\n\tx]\n", "k:\n\tx\n"])
 def test_rejected(text):
     with pytest.raises(YamlError):
         parse(text)
@@ -67,3 +67,24 @@ def test_shredded_rows():
     assert rows[0]["json"] == '{"a/b~c":[1,{"x":"é"}],"base":{"n":1.0},"copy":{"n":1.0}}' and rows[0]["subtree_end"] == 8
     assert rows[4]["span_end"] - rows[4]["span_start"] == 2  # bytes
     assert shred_text("a: 1\nb: {c: 2}")[0]["canon"] == shred_text("{b: {c: 0x2}, 'a': 1.0}")[0]["canon"]
+
+
+def test_places_of_errors_and_offsets():
+    row = shred_text("é: 1\nb: [\n")[0]
+    assert (row["error_line"], row["error_column"], row["error_at"]) == (2, 4, 9)
+    rows = shred_text("".join(f"é{k}: ü\n" for k in range(3000)))
+    assert rows[-1]["span_end"] - rows[-1]["span_start"] == 2
+    assert shred_text("a: {b: [1]}", False)[0]["json"] is None
+
+
+def test_mapping_and_order():
+    from sylva.functions.values import Mapping, compare
+
+    m = Mapping({"a": 1, "b": 2, "c": 3, "d": 4})
+    assert m.insert("b", 9) == 2 and list(m) == ["a", "b", "c", "d"]
+    assert m.swap_remove("a") == 1 and list(m) == ["d", "b", "c"] and m.swap_remove("c") == 3 and m.swap_remove("z") is None
+    assert m.shift_remove("d") == 4 and m.entry("l", list) == [] and list(m) == ["b", "l"]
+    m.retain(lambda k, v: k == "l")
+    assert m == {"l": []}
+    assert compare(None, False) == -1 and compare("b", "a") == 1 and compare(1, 1.0) == 0 and compare(float("nan"), 1) is None
+    assert compare({"a": 1, "b": 2}, {"a": 1, "c": 0}) == -1 and compare([1, 2], [1]) == 1
