@@ -258,8 +258,8 @@ def numeric_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("extracted_join", f"WITH {_ITEMS} SELECT p_brand AS brand, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM items JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def extracted_join(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = shred(orders(spark, sf), "k", "t", columns=("parent", "depth", "key", "text"))
-    items = nodes.where("depth = 3 and key in ('part', 'qty')").groupBy("doc_key", "parent").agg(F.max(F.when(F.col("key") == "part", _number())).alias("part"), F.max(F.when(F.col("key") == "qty", _number())).alias("qty"))
+    found = _run(orders, spark, sf, "$.items[*]", ("json",))
+    items = found.select(F.from_json("json", "part bigint, qty bigint").alias("i")).select("i.*")
     p = _table(spark, sf, "part")
     return items.join(p, F.col("part") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
 

@@ -15,9 +15,9 @@ EDITS = ("add", "replace", "remove", "move", "copy", "rename-key", "set", "patch
 ANSWER = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("output", T.StringType()), T.StructField("pointers", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
-def chosen(text: str, doc: int | None) -> int:
-    """The chosen document; it must be named where there are several."""
-    n = len(parse(text))
+def chosen(text: str, doc: int | None, n: int | None = None) -> int:
+    """The chosen document; it must be named where there are several (n, if they are counted already)."""
+    n = len(parse(text)) if n is None else n
     if n == 0:
         raise edit.EditError("no document")
     if doc is None and n > 1:
@@ -68,7 +68,7 @@ def execute(text: str, command: str, pointer: str | None = None, query: str | No
             roots = local.documents(text)
             path = jsonpath.parse(query)
             every = doc is None and command in ("query", "test", "get")
-            for ix in range(len(roots)) if every else [chosen(text, doc)]:
+            for ix in range(len(roots)) if every else [chosen(text, doc, len(roots))]:
                 found += [(ix, v, p) for v, p in local.evaluate(path, roots[ix])]
         at = [p for _, _, p in found] if query is not None else [pointer] if pointer is not None else []
         if command == "query":
@@ -76,7 +76,7 @@ def execute(text: str, command: str, pointer: str | None = None, query: str | No
         if command == "get":
             if query is None:
                 return True, text, edit.extract(text, pointer, chosen(text, doc)), at, None
-            return True, text, "".join(edit.extracted_stream(text, [p], ix) if v.kind != "empty" else "---\n" for ix, v, p in found), at, None
+            return True, text, edit.stream_of(text, [v.node for _, v, _ in found]), at, None
         if command == "test":
             if query is None:
                 ok = edit.test(text, pointer, value, chosen(text, doc))
@@ -85,7 +85,7 @@ def execute(text: str, command: str, pointer: str | None = None, query: str | No
             canon = want[0].canon if want else "null"
             ok = bool(found) and all(v.canon == canon for _, v, _ in found)
             return ok, text, None, at, None if ok else "not equal" if found else "no match"
-        ix = chosen(text, doc)
+        ix = chosen(text, doc, len(roots) if query is not None else None)
         if query is not None:
             if not found:
                 return False, text, None, at, "no match"

@@ -408,15 +408,20 @@ def get(text: str, pointer: str, ix: int = 0) -> str:
 def extract(text: str, pointer: str, ix: int = 0) -> str:
     """The source of a value, its lines moved left to where it starts."""
     d = Document(text, ix)
-    n = d.open(d.find(tokens(pointer)))
+    return source_of(text, d.open(d.find(tokens(pointer))))
+
+
+def source_of(text: str, n: Node) -> str:
+    """The source of a node, its lines moved left to where it starts."""
     line = text[text.rfind("\n", 0, n.start) + 1 : n.start]
     return dedented(text[n.start : n.end], len(line) if n.style in ("block",) else len(line) - len(line.lstrip(" ")))
 
 
-def extracted_stream(text: str, pointers: list[str], ix: int = 0) -> str:
-    """The sources of several values as a stream: a marker and the value, each."""
+def stream_of(text: str, nodes: list[Node | None]) -> str:
+    """The sources of several values as a stream: a marker and the value, each; None is an empty document."""
     eol = line_break(text)
-    return "".join("---" + eol + (got if got.endswith("\n") else got + eol) for got in (extract(text, p, ix) for p in pointers))
+    parts = ["" if n is None else source_of(text, n) for n in nodes]
+    return "".join("---" + eol + (got if got.endswith("\n") or not got else got + eol) for got in parts)
 
 
 def test(text: str, pointer: str, value: str, ix: int = 0) -> bool:
@@ -514,7 +519,7 @@ class Queue:
 
 def apply(text: str, ops: list[dict], ix: int = 0) -> str:
     """All operations in order; any failure raises and nothing is changed."""
-    whole = None
+    whole, changed = None, False
     for o in ops:
         kind, path = o.get("op"), o.get("path")
         if path is None:
@@ -523,7 +528,9 @@ def apply(text: str, ops: list[dict], ix: int = 0) -> str:
             if not test(text, path, o["value"], ix):
                 raise EditError(f"test failed at {path!r}")
             continue
-        whole = sound(text, ix) if whole is None else whole
+        if whole is None:  # a text without "*" has no alias to lose
+            whole = "*" in text and sound(text, ix)
+        changed = True
         if kind in ("add", "replace"):
             text = (add if kind == "add" else replace)(text, path, o["value"], ix)
         elif kind == "remove":
@@ -538,6 +545,8 @@ def apply(text: str, ops: list[dict], ix: int = 0) -> str:
             raise EditError(f"unknown operation {kind!r}")
         if whole and not sound(text, ix):
             raise EditError("an alias would lose its anchor")
+    if changed and not whole:  # every operation reads what the one before it left; the last result is read here
+        parse(text)
     return text
 
 
