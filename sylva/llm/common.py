@@ -68,6 +68,22 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source}")
 
 
+class Scratch:
+    """Written tables that are removed together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, what))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def close(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
 class Loop:
     """The table of an iteration, written anew at each turn; the one before it is removed.
 
@@ -115,6 +131,13 @@ def lower_az(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the edges (u, v) with u > v is the least of its component or linked to nothing but that."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("c"))
+    return seen.where("ups > 1 or (ups = 1 and c > 1)").count() == 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest
     node reachable.  Nodes without an edge do not appear.
@@ -122,24 +145,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014).  Every step
     is a grouped minimum with map-side combine and a join; no group is collected.
     The minima are written first, so that the join deals both sides anew and a
-    node with very many neighbours can be split among tasks.
+    node with very many neighbours can be split among tasks.  It ends as soon as the
+    edges are stars, which one grouped count tells.
     """
     loop, large_loop, minima = (Loop(edges.sparkSession, f"stars-{k}") for k in ("edges", "large", "minima"))
     e = loop.turn(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
     for _ in range(max_rounds):
+        if _stars(e):
+            break
         # large star: link each larger neighbour to the least of the neighbourhood
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima.turn(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = large_loop.turn(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        # no more rows than edges, so copies may stay until the end of the turn
+        large = large_loop.turn(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # small star: link smaller neighbours and the node itself to the least
         low = minima.turn(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = loop.turn(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError("components did not settle")
     large_loop.close()
