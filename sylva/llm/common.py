@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that one task may take: a table of no more (they are counted) is iterated over without shuffles.
+FEW = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,16 +93,18 @@ class Loop:
     plan on, and these double with every turn.
     """
 
-    def __init__(self, spark: SparkSession, what: str):
+    def __init__(self, spark: SparkSession, what: str, one: bool = False):
         self.spark, self.what, self.path = spark, what, None
+        self.one = one  # keep the table in one partition, for tables of FEW rows or so
 
     def turn(self, df: DataFrame) -> DataFrame:
         path, old = new_path(self.spark, self.what), self.path
-        df.write.parquet(path)
+        (df.coalesce(1) if self.one else df).write.parquet(path)
         if old:
             drop_path(self.spark, old)
         self.path = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        return out.coalesce(1) if self.one else out
 
     def close(self) -> None:
         if self.path:
@@ -131,14 +135,14 @@ def lower_az(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _stars(e: DataFrame) -> bool:
+def _stars(e: DataFrame, together=lambda d: d) -> bool:
     """Whether every node of the edges (u, v) with u > v is the least of its component or linked to nothing but that."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
-    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("c"))
+    seen = together(ends).groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("c"))
     return seen.where("ups > 1 or (ups = 1 and c > 1)").count() == 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest
     node reachable.  Nodes without an edge do not appear.
 
@@ -146,22 +150,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is a grouped minimum with map-side combine and a join; no group is collected.
     The minima are written first, so that the join deals both sides anew and a
     node with very many neighbours can be split among tasks.  It ends as soon as the
-    edges are stars, which one grouped count tells.
+    edges are stars, which one grouped count tells.  At most `few` edges make one
+    partition, so that the same steps need no exchange; no step makes more edges.
     """
     loop, large_loop, minima = (Loop(edges.sparkSession, f"stars-{k}") for k in ("edges", "large", "minima"))
     e = loop.turn(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    one = e.count() <= few
+    together = (lambda d: d.coalesce(1)) if one else (lambda d: d)
+    for each in (loop, large_loop, minima):
+        each.one = one
+    e = together(e)
     for _ in range(max_rounds):
-        if _stars(e):
+        if _stars(e, together):
             break
         # large star: link each larger neighbour to the least of the neighbourhood
-        sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sym = together(e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = minima.turn(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # no more rows than edges, so copies may stay until the end of the turn
         large = large_loop.turn(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # small star: link smaller neighbours and the node itself to the least
         low = minima.turn(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = loop.turn(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        e = loop.turn(together(small).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError("components did not settle")
     large_loop.close()

@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, Loop, checkpoint, table, without
+from .common import BLANK, FEW, Loop, checkpoint, table, without
 
 SEED = 7
 #: Share of all tokens to keep, exponent that flattens the margins where no targets are given.
 KEEP, FLATTEN = 0.8, 0.85
 #: Raking rounds at most, and the largest relative move of a weight that ends them.
 ROUNDS, TOLERANCE = 40, 1e-3
+#: Rounds between two looks at the moves where the cells are few.
+TURN = 4
 DIMS = ("source", "lang", "topic")
 
 
@@ -56,20 +58,26 @@ def weighted_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | No
     return {d: m.select("value", (F.col("share") * F.lit(float(share * total))).alias("target")) for d, m in out.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (dims, tokens) plus weight.  Margins with no room left under the cells' tokens end below target; see `margins`."""
-    loop = Loop(cells.sparkSession, "rake")
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, few: int = FEW) -> DataFrame:
+    """cells (dims, tokens) plus weight.  Margins with no room left under the cells' tokens end below target; see `margins`.
+
+    At most `few` cells are raked in one partition, where the margins need no
+    exchange, TURN rounds at a time; more are dealt by each dimension in turn.
+    """
+    one = cells.count() <= few
+    loop, step = Loop(cells.sparkSession, "rake", one), TURN if one else 1
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, target in targets.items():
         w = w.join(target.select(F.col("value").alias("_v"), F.col("target").alias(f"_target_{d}")), F.col(d) == F.col("_v"), "left").drop("_v")
     w = loop.turn(w.withColumn("_old", F.col("weight")))
-    for _ in range(rounds):
-        w = w.withColumn("_old", F.col("weight"))
-        for d in targets:
-            m = F.sum("weight").over(Window.partitionBy(d))
-            to = F.col("weight") * F.when(m > 0, F.col(f"_target_{d}") / m).otherwise(0.0)
-            w = w.withColumn("weight", F.least(to, F.col("tokens").cast("double")))
-        w = loop.turn(w)  # each round reads the one before it
+    for done in range(0, rounds, step):
+        for _ in range(min(step, rounds - done)):
+            w = w.withColumn("_old", F.col("weight"))
+            for d in targets:
+                m = F.sum("weight").over(Window.partitionBy(d))
+                to = F.col("weight") * F.when(m > 0, F.col(f"_target_{d}") / m).otherwise(0.0)
+                w = w.withColumn("weight", F.least(to, F.col("tokens").cast("double")))
+        w = loop.turn(w)  # each turn reads the one before it
         moved = w.agg(F.max(F.abs(F.col("weight") - F.col("_old")) / F.greatest(F.col("_old"), F.lit(1e-9)))).first()[0]
         if moved is None or moved <= tolerance:
             break
