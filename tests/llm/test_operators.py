@@ -156,13 +156,13 @@ def test_class_lm(spark, docs, hard, empty):
     for d in (docs, hard):
         rows = [tuple(r) for r in d.collect()]
         want = brute_base(rows)
-        got = class_lm.score_documents(d, rounds=2).collect()
+        got = class_lm.score_documents(d, sweeps=2).collect()
         assert len(got) == len(rows)
         for r in got:
             w = want[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and abs(r.base_score - w[3]) < 1e-6 * abs(w[3])
             assert np.isfinite(r.score) and r.score < 0
-    assert class_lm.score_documents(empty, rounds=1).count() == 0
+    assert class_lm.score_documents(empty, sweeps=1).count() == 0
 
 
 def test_class_probabilities_sum_to_one(docs):
