@@ -22,7 +22,7 @@ SEED = 7
 KEEP, FLATTEN = 0.8, 0.85
 #: Raking rounds at most, and the largest relative move of a weight that ends them.
 ROUNDS, TOLERANCE = 40, 1e-3
-#: Rounds between two looks at the moves where the cells are few.
+#: Rounds between two looks at the moves.
 TURN = 4
 DIMS = ("source", "lang", "topic")
 
@@ -62,10 +62,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """cells (dims, tokens) plus weight.  Margins with no room left under the cells' tokens end below target; see `margins`.
 
     At most `few` cells are raked in one partition, where the margins need no
-    exchange, TURN rounds at a time; more are dealt by each dimension in turn.
+    exchange; more are dealt by each dimension in turn.  TURN rounds go by between two looks.
     """
     one = cells.count() <= few
-    loop, step = Loop(cells.sparkSession, "rake", one), TURN if one else 1
+    loop, step = Loop(cells.sparkSession, "rake", one), TURN
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, target in targets.items():
         w = w.join(target.select(F.col("value").alias("_v"), F.col("target").alias(f"_target_{d}")), F.col(d) == F.col("_v"), "left").drop("_v")
