@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sylva.llm import ann, class_lm, exact_dedup, jaccard, line_dedup, mixing, packing, quality, sharding, simhash, store, tok
+from sylva.llm import ann, class_lm, common, exact_dedup, jaccard, line_dedup, mixing, packing, quality, sharding, simhash, store, tok
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -532,3 +532,11 @@ def test_held_out_quality(spark):
     accuracy = (got["predicted"] == got["quality"]).mean()
     print(f"held out: {len(got)} rows, AUC {auc:.4f}, accuracy {accuracy:.4f}, share of label 1 {good.mean():.4f}")
     assert auc > 0.9 and accuracy > 0.85
+
+
+def test_components_either_way(spark):
+    rng = np.random.default_rng(3)
+    e = [*map(tuple, rng.integers(0, 60, (40, 2)).tolist()), *((k, k + 1) for k in range(100, 130))]
+    df = spark.createDataFrame(e, "a long, b long")
+    one, dealt = (sorted(map(tuple, common.components(df, few=few).collect())) for few in (common.FEW, 0))
+    assert one == dealt and {r for n, r in one if n >= 100} == {100}
